@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import line_dedup, mixing, packing, simhash
+from helixframe.llm import line_dedup, mixing, packing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sequence_packing": op4_sequence_packing,
     "op6_source_mixing": op6_source_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_kd_sharding": op8_kd_sharding,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
