@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import line_dedup, mixing, packing, sharding, simhash
+from helixframe.llm import licenses, line_dedup, media, mixing, packing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(_table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_flac_media": op1_flac_media,
+    "op3_license_scan": op3_license_scan,
     "op4_sequence_packing": op4_sequence_packing,
     "op6_source_mixing": op6_source_mixing,
     "op7_line_dedup": op7_line_dedup,
