@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import licenses, line_dedup, media, mixing, packing, sharding, simhash
+from helixframe.llm import licenses, line_dedup, media, mixing, packing, quality_lines, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lines.line_quality_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
@@ -45,12 +49,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac_media": op1_flac_media,
     "op3_license_scan": op3_license_scan,
     "op4_sequence_packing": op4_sequence_packing,
+    "op5_line_quality": op5_line_quality,
     "op6_source_mixing": op6_source_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_kd_sharding": op8_kd_sharding,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op5_line_quality": quality_lines.QUALITY_SQL,
     "op6_source_mixing": mixing.MIX_SQL,
     "op7_line_dedup": line_dedup.LINES_SQL,
 }
