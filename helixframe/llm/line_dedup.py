@@ -113,7 +113,8 @@ def drop_frequent_lines(
     ``n_lines`` and ``n_dropped``.
     """
     drop = dropped_lines(docs, text, ident, min_docs, min_chars, batches)
-    drop = materialise(drop, "line-drops").withColumnRenamed("__doc", "__ddoc").withColumnRenamed("__th", "__dth")
+    # the same sort-merge join at every size: texts are shuffled once, never gathered
+    drop = materialise(drop, "line-drops").withColumnRenamed("__doc", "__ddoc").withColumnRenamed("__th", "__dth").hint("merge")
     keyed = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     out = keyed.join(drop, F.col(ident).eqNullSafe(F.col("__ddoc")) & (F.col("__th") == F.col("__dth")), "left")
     lines = lines_of(F.col(text))
