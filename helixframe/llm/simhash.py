@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.components import connected_components
@@ -50,15 +50,20 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", ident: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long; null texts are empty."""
+    """(doc_id, text_hash, fp): the fingerprint of every whole text as a signed long; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
             fps = np.array([fingerprint(t.as_py() or b"", words) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text), _text_hash(text).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _merge(labels: np.ndarray, members: np.ndarray) -> None:
@@ -190,7 +195,7 @@ def near_links(points: DataFrame, radius: int = RADIUS, leaf: int = LEAF, splits
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: linked fingerprints share a component.
+    """(doc_id, text_hash, fp, component, component_id) for every row: linked fingerprints share a component.
 
     The component is named by its smallest doc_id. Null texts are empty; texts without a word
     have fingerprint zero and are linked like others. Rows with null identifier take part and
@@ -202,9 +207,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     labels = connected_components(near_links(points.select("fp"), radius))
     named = labels.join(points, labels.node == points.fp)
     roots = named.groupBy(F.col("label").alias("root")).agg(F.min("first").alias("lowest"))
-    found = materialise(named.join(roots, F.col("label") == F.col("root")).select(F.col("node").alias("l_fp"), "lowest"), "sim-classes")
-    classes = points.join(found, points.fp == F.col("l_fp"), "left").select(F.col("fp").alias("c_fp"), F.coalesce("lowest", "first").alias("component_id"))
-    return marked.join(classes, marked.fp == F.col("c_fp")).select("doc_id", "fp", "component_id")
+    found = materialise(named.join(roots, F.col("label") == F.col("root")).select(F.col("node").alias("l_fp"), "label", "lowest"), "sim-classes")
+    classes = points.join(found, points.fp == F.col("l_fp"), "left").select(
+        F.col("fp").alias("c_fp"), F.coalesce("label", "fp").alias("component"), F.coalesce("lowest", "first").alias("component_id")
+    )
+    return marked.join(classes, marked.fp == F.col("c_fp")).select("doc_id", "text_hash", "fp", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", ident: str = "doc_id", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row of every component, whole: the smallest identifier, then the smallest text hash.
+
+    A row without identifier stays only where its component has no other. Of repeated rows one stays.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    best = near_duplicates(docs, text, ident, words, radius).groupBy("component").agg(F.min(order).alias("m"))
+    best = materialise(best.select(F.col("m.doc_id").alias("__d"), F.col("m.text_hash").alias("__h")), "sim-kept").hint("merge")
+    hashed = docs.withColumn("__t", _text_hash(text))
+    kept = hashed.join(best, F.col(ident).cast("long").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(ident, "__t").orderBy(F.lit(0)))
+    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
