@@ -1,0 +1 @@
+"""K-mer and de Bruijn graph analytics on Spark DataFrames."""
