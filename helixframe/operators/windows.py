@@ -28,7 +28,7 @@ def segments(sequences: DataFrame, path: str = "header", sequence: str = "sequen
 
 def components(sequences: DataFrame, path: str = "header", sequence: str = "sequence") -> DataFrame:
     """(path, comp_idx, kind, abs_start, length): segments and gaps in path order with running offsets."""
-    runs = sequences.select(F.col(path).alias("path"), F.posexplode(F.split(F.col(sequence), _turns())).alias("comp_idx", "raw"))
+    runs = sequences.select(F.col(path).alias("path"), F.posexplode(F.split(F.col(sequence), TURNS)).alias("comp_idx", "raw"))
     before = Window.partitionBy("path").orderBy("comp_idx").rowsBetween(Window.unboundedPreceding, -1)
     kind = F.when(F.lower(F.left("raw", F.lit(1))) == "n", "GAP").otherwise("SEGMENT")
     out = runs.select("path", "comp_idx", kind.alias("kind"), F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)).cast("long").alias("abs_start"), F.length("raw").cast("long").alias("length"))
