@@ -79,9 +79,10 @@ def colour_name(colour: Column) -> Column:
     return out
 
 
-_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+LETTER_BASES = 2 * (BASES * 7)[:26]
 
 
 def text_as_bases(text: Column) -> Column:
     """Letters become bases by a fixed table, blanks vanish, anything else is N."""
-    return F.translate(F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), "[^A-Za-z]", "#"), _ALPHABET + "#", (BASES * 13) + "N")
+    return F.translate(F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), "[^A-Za-z]", "#"), LETTERS + "#", LETTER_BASES + "N")

@@ -70,8 +70,10 @@ def unitigs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = _heads(all_.select("node"), inner)
     cycles = materialise(state.where("open").select("node", "low"), "cycles")
     if not cycles.isEmpty():
-        starts = cycles.select(F.col("low").alias("b")).distinct()
-        # the same cut on the other strand, so that both give one sequence
+        # one cut for both strands of a cycle: before the smaller of their smallest k-mers, and its mirror image
+        lows = cycles.select("low").distinct().withColumn("turned", reverse_complement(F.col("low")))
+        other = cycles.select(F.col("node").alias("turned"), F.col("low").alias("other"))
+        starts = lows.join(other, "turned").where(F.col("low") <= F.col("other")).select(F.col("low").alias("b"))
         mirrored = starts.join(inner, "b").select(reverse_complement(F.col("b")).alias("a"), reverse_complement(F.col("a")).alias("b")).select("b")
         inner = materialise(inner.join(starts.unionByName(mirrored).distinct(), "b", "left_anti"), "inner")
         state = _heads(all_.select("node"), inner)

@@ -223,7 +223,7 @@ _NAMES = (
 ).split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}
 
-_ENC = f"translate(regexp_replace(replace(text, ' ', ''), '[^A-Za-z]', '#', 'g'), '{bases._ALPHABET}#', '{bases.BASES * 13}N')"
+_ENC = f"translate(regexp_replace(replace(text, ' ', ''), '[^A-Za-z]', '#', 'g'), '{bases.LETTERS}#', '{bases.LETTER_BASES}N')"
 
 
 def _c(base: str) -> str:
