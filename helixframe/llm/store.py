@@ -1,48 +1,5 @@
-"""Shared scratch tables: written results that cut lineage and survive lost executors."""
+"""Scratch tables of the training-data operators: the library's own."""
 
-from __future__ import annotations
+from helixframe.scratch import discard, materialise, new_path, scratch_root
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_MADE: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and return it reread."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _discard_all() -> None:
-    for spark, path in _MADE:
-        with contextlib.suppress(Exception):
-            discard(spark, path)
+__all__ = ["discard", "materialise", "new_path", "scratch_root"]
