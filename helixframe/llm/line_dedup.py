@@ -101,6 +101,15 @@ def dropped_lines(docs: DataFrame, text: str, ident: str, min_docs: int, min_cha
     return hit.groupBy("__doc", "__th").agg(F.sort_array(F.collect_set("__pos")).alias("__drop"))
 
 
+def spliced(rows: DataFrame, text: str) -> tuple[DataFrame, Column]:
+    """``rows`` with their lines as ``__all``, and the text without the lines numbered in ``__drop`` (ascending; null: none)."""
+    lines = lines_of(F.col(text))
+    starts = F.concat(F.array(F.lit(0)), F.transform("__drop", lambda x: x + 1))
+    ends = F.concat(F.col("__drop"), F.array(F.size(lines)))
+    spans = F.zip_with(starts, ends, lambda a, b: F.slice(F.col("__all"), a + 1, b - a))
+    return rows.withColumn("__all", lines), F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(spans), "\n"))
+
+
 def drop_frequent_lines(
     docs: DataFrame, *, text: str = "text", ident: str = "doc_id", min_docs: int = 10, min_chars: int = 1, batches: int = 4, report: bool = False
 ) -> DataFrame:
@@ -117,12 +126,7 @@ def drop_frequent_lines(
     drop = materialise(drop, "line-drops").withColumnRenamed("__doc", "__ddoc").withColumnRenamed("__th", "__dth").hint("merge")
     keyed = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     out = keyed.join(drop, F.col(ident).eqNullSafe(F.col("__ddoc")) & (F.col("__th") == F.col("__dth")), "left")
-    lines = lines_of(F.col(text))
-    starts = F.concat(F.array(F.lit(0)), F.transform("__drop", lambda x: x + 1))
-    ends = F.concat(F.col("__drop"), F.array(F.size(lines)))
-    spans = F.zip_with(starts, ends, lambda a, b: F.slice(F.col("__all"), a + 1, b - a))
-    out = out.withColumn("__all", lines)
-    kept = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(spans), "\n"))
+    out, kept = spliced(out, text)
     columns = [kept.alias(c) if c == text else F.col(c) for c in docs.columns]
     if report:
         columns += [F.size("__all").cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped")]

@@ -1,8 +1,8 @@
 """Quality rules: line frequency across the documents of a host, and base counts of a text.
 
 Normalised lines are hashed with their host. A line's frequency is the number of distinct texts of
-the host that hold it, so exact copies count once. Lines above the host's limit are boilerplate;
-a document that loses more than ``max_loss`` of its words with them is depleted and rejected.
+the host that hold it, so exact copies count once. Lines above the host's limit are boilerplate and
+are removed; a document that loses more than ``max_loss`` of its words with them is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.line_dedup import spliced
 from helixframe.llm.store import materialise
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -57,57 +58,57 @@ def signed_hash(raw: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def measure(text: str, host: str | None) -> tuple[int, int, int, int, int, int, dict[int, int]]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, text hash, {line hash: words})."""
+def measure(text: str, host: str | None) -> tuple[int, int, int, int, int, int, list[tuple[int, int, int]]]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, text hash, [(line hash, words, line number)])."""
     import xxhash
 
     raw = text.encode()
     words = raw.split()
-    lines: dict[int, int] = {}
+    lines: list[tuple[int, int, int]] = []
     seen: set[bytes] = set()
     repeats = 0
     seed = xxhash.xxh64_intdigest(b"" if host is None else b"=" + host.encode())
-    for line in raw.split(b"\n"):
+    for number, line in enumerate(raw.split(b"\n")):
         own = line.split()
         if not own:
             continue
         if line in seen:
             repeats += 1
         seen.add(line)
-        key = xxhash.xxh64_intdigest(line.strip().lower(), seed) - (1 << 63)
-        lines[key] = lines.get(key, 0) + len(own)
+        lines.append((xxhash.xxh64_intdigest(line.strip().lower(), seed) - (1 << 63), len(own), number))
     chars = len(text) - sum(text.count(c) for c in SPACES)
     return len(words), chars, sum(text.count(c) for c in SYMBOLS), repeats, repeated_words(words), signed_hash(raw), lines
 
 
 def measured(docs: DataFrame, text: str, ident: str, host: str) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash"]
-    item = pa.struct([("key", pa.int64()), ("words", pa.int64())])
+    item = pa.struct([("key", pa.int64()), ("words", pa.int64()), ("at", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *((c, pa.int64()) for c in counts), ("lines", pa.list_(item))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in counts]
-            keys, words, ends = [], [], [0]
+            items, ends = [], [0]
             for t, h in zip(batch.column(2), batch.column(1), strict=True):
                 *values, lines = measure(t.as_py() or "", h.as_py())
                 for c, v in zip(columns, values, strict=True):
                     c.append(v)
-                keys += lines
-                words += lines.values()
-                ends.append(len(keys))
-            items = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.int64())], fields=list(item))
+                items += lines
+                ends.append(len(items))
+            fields = list(zip(*items, strict=True)) or [()] * len(item)
+            structs = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(fields, item, strict=True)], fields=list(item))
             arrays = [pa.array(c, pa.int64()) for c in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], schema=schema)
 
-    out = "doc_id long, host string, " + ", ".join(f"{c} long" for c in counts) + ", lines array<struct<key:long,words:long>>"
+    out = "doc_id long, host string, " + ", ".join(f"{c} long" for c in counts) + ", lines array<struct<key:long,words:long,at:int>>"
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text)).mapInArrow(run, out)
 
 
 def line_quality(
     docs: DataFrame, *, text: str = "text", ident: str = "doc_id", host: str = "source", min_limit: int = MIN_LIMIT, limit_share: float = LIMIT_SHARE, max_loss: float = MAX_LOSS
 ) -> DataFrame:
-    """Per document: base counts, ``base_failed``, ``n_boilerplate_words`` and ``kept``.
+    """Per document: base counts, ``base_failed``, ``n_boilerplate_words``, ``kept``, ``boilerplate``
+    (numbers of the lines above the limit, from 0 and ascending; null: none) and ``text_hash``.
 
     The limit of a host is ``limit_share`` of its documents, at least ``min_limit``. Null and
     empty texts have no words and fail the base rule; null hosts are one host. Rows of equal
@@ -115,7 +116,7 @@ def line_quality(
     """
     base = materialise(measured(docs, text, ident, host), "line-quality")
     hosts = base.groupBy("host").agg(F.greatest(F.lit(float(min_limit)), F.count("*") * F.lit(float(limit_share))).alias("limit"))
-    lines = base.select("doc_id", "host", "text_hash", F.explode("lines").alias("line")).select("doc_id", "host", "text_hash", "line.key", "line.words")
+    lines = base.select("doc_id", "host", "text_hash", F.explode("lines").alias("line")).select("doc_id", "host", "text_hash", "line.key", "line.words", "line.at")
     texts = lines.groupBy("key", "text_hash").agg(F.min("host").alias("host"))
     found = texts.groupBy("key").agg(F.count("*").alias("texts"), F.min("host").alias("host"))
     # a line of no more texts than the least limit is below every host's
@@ -124,26 +125,29 @@ def line_quality(
     frequent = found.join(limits, F.col("host").eqNullSafe(F.col("l_host"))).where(F.col("texts") > F.col("limit")).select(F.col("key").alias("f_key"))
     frequent = materialise(frequent, "line-above")
     lost = lines.join(frequent, F.col("key") == F.col("f_key"), "left_semi").groupBy("doc_id", "text_hash")
-    # repeated rows would each add their lines: one row's lines are those of its distinct keys
-    lost = lost.agg(F.sum("words").alias("all_words"), F.count("*").alias("n"), F.count_distinct("key").alias("own"))
-    lost = lost.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), (F.col("all_words") * F.col("own") / F.col("n")).cast("long").alias("n_boilerplate_words"))
+    # repeated rows add the same places: a set holds each once
+    lost = lost.agg(F.collect_set(F.struct("at", "words")).alias("places"))
+    n_lost = F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    lost = lost.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), n_lost.alias("n_boilerplate_words"), F.array_sort(F.transform("places", lambda p: p["at"])).alias("boilerplate"))
     out = base.drop("lines").join(lost, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     gone = F.coalesce("n_boilerplate_words", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select(*counts, gone.alias("n_boilerplate_words"), failed.alias("base_failed"), (~failed & (gone <= F.col("n_words") * F.lit(float(max_loss)))).alias("kept"), "text_hash")
+    return out.select(*counts, gone.alias("n_boilerplate_words"), failed.alias("base_failed"), (~failed & (gone <= F.col("n_words") * F.lit(float(max_loss)))).alias("kept"), "boilerplate", "text_hash")
 
 
-def drop_rejected(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, whole: each row by its own identifier and text."""
+def clean_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the rules keep, without their lines above the limit; further columns stay."""
     ident, text = options.get("ident", "doc_id"), options.get("text", "text")
-    rejected = line_quality(docs, **options).where("not kept").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
+    found = line_quality(docs, **options).where("not kept or boilerplate is not null").dropDuplicates(["doc_id", "text_hash"])
+    found = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("kept").alias("__kept"), F.col("boilerplate").alias("__drop"))
     same = F.col(ident).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__h"))
-    return docs.join(materialise(rejected, "line-rejected").hint("merge"), same, "left_anti")
+    out, cut = spliced(docs.join(materialise(found, "line-decided").hint("merge"), same, "left").where("__kept is null or __kept"), text)
+    return out.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
 def line_quality_report(docs: DataFrame) -> DataFrame:
-    return line_quality(docs).drop("text_hash")
+    return line_quality(docs).drop("text_hash", "boilerplate")
 
 
 QUALITY_SQL = r"""
