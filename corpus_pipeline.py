@@ -11,8 +11,8 @@ from helixframe.llm.store import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects short, repetitive and depleted documents."""
-    return quality_lines.drop_rejected(docs)
+    """Rejects short, repetitive and depleted documents; the others lose their boilerplate lines."""
+    return quality_lines.clean_documents(docs)
 
 
 def frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
