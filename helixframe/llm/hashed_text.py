@@ -90,6 +90,19 @@ def feature_rows(rows: DataFrame, text: str, keep: list[str], shape: bool) -> Da
     return rows.select(*keep, text).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", features array<int>")
 
 
+def gathered(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Labels and features of a training sample (identifier, label, features), in the order of both; taken as Arrow buffers."""
+    table = rows.toArrow()
+    ids, labels = (table.column(i).to_numpy() for i in (0, 1))
+    features: list[np.ndarray] = []
+    for chunk in table.column(2).chunks:
+        if len(chunk):
+            cuts = chunk.offsets.to_numpy()
+            features += np.split(chunk.flatten().to_numpy(), cuts[1:-1] - cuts[0])
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], features[i].tobytes()))
+    return labels[order], [features[i] for i in order]
+
+
 class Matrix:
     """Rows of present features, renumbered to the ``chosen`` buckets."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.hashed_text import Cache, Matrix, adam, choose, feature_rows, held_out, present
+from helixframe.llm.hashed_text import Cache, Matrix, adam, choose, feature_rows, gathered, held_out, present
 
 SAMPLE, FEATURES, LEAST_Z = 12_000, 1024, 4.0
 STEPS, RATE, PENALTY = 250, 0.1, 1e-3
@@ -80,9 +80,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int, *, text
     if not chosen:
         return train_ordinal([], np.zeros(0, np.int64), levels)
     table = docs.sparkSession.createDataFrame(chosen, "s_id long, s_g int")
-    got = feature_rows(docs.join(F.broadcast(table), F.col(ident).cast("long") == F.col("s_id")).select("s_id", "s_g", text), text, ["s_id", "s_g"], shape=True).collect()
-    got.sort(key=lambda r: (r["s_id"], r["features"]))
-    return train_ordinal([np.array(r["features"], np.int64) for r in got], np.array([r["s_g"] for r in got], np.int64), levels)
+    rows = docs.join(F.broadcast(table), F.col(ident).cast("long") == F.col("s_id")).select("s_id", "s_g", text)
+    grades, features = gathered(feature_rows(rows, text, ["s_id", "s_g"], shape=True))
+    return train_ordinal(features, grades.astype(np.int64), levels)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, *, text: str = "text", ident: str = "doc_id", tail: int = TAIL, threshold: float = THRESHOLD) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.hashed_text import Cache, Matrix, adam, choose, feature_rows, held_out, present
+from helixframe.llm.hashed_text import Cache, Matrix, adam, choose, feature_rows, gathered, held_out, present
 
 POSITIVES, UNLABELLED, FEATURES, LEAST_Z, LEAST_LIFT = 3000, 9000, 256, 4.0, 3.0
 STEPS, RATE, PENALTY = 200, 0.1, 5e-4
@@ -87,9 +87,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", ident: str =
         return train_nnpu([], [], share)
     sample = docs.sparkSession.createDataFrame(chosen, "s_id long, s_y int")
     rows = docs.join(F.broadcast(sample), F.col(ident).cast("long") == F.col("s_id")).select("s_id", "s_y", text)
-    got = feature_rows(rows, text, ["s_id", "s_y"], shape=False).collect()
-    got.sort(key=lambda r: (r["s_id"], r["features"]))
-    by = [[np.array(r["features"], np.int64) for r in got if r["s_y"] == y] for y in (1, 0)]
+    labels_, features = gathered(feature_rows(rows, text, ["s_id", "s_y"], shape=False))
+    by = [[f for f, own in zip(features, labels_, strict=True) if own == y] for y in (1, 0)]
     return train_nnpu(*by, prior=share)
 
 
