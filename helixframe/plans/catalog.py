@@ -18,7 +18,6 @@ from helixframe.sources import database, sequences
 from helixframe.streaming.ingest import ingest
 
 K = 21
-DEPTH = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -181,7 +180,7 @@ def traversal_depth_2(s: SparkSession, d: str) -> DataFrame:
 
 def _extracted(s: SparkSession, d: str) -> DataFrame:
     dbg = materialise(_dbg(s, d), "dbg")
-    return subgraph.extract(contigs(s, d), dbg, K, depth=DEPTH)
+    return subgraph.extract(contigs(s, d), dbg, K)
 
 
 def best_first(s: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from helixframe.functions import bases
 from helixframe.operators import graph, subgraph, unitigs, variants
+from helixframe.plans import catalog
 from tests.test_graph import frame, rc
 
 RNG = random.Random(11)
@@ -100,3 +102,18 @@ def test_vcf_restores_the_sequence(spark):
 def test_no_variants(spark):
     dbg = graph.build(frame(spark, [SEQ]), K)
     assert variants.variants(frame(spark, [SEQ]), dbg, K).count() == 0
+
+
+def test_catalogue_extracts_at_the_full_depth(spark, tmp_path):
+    """The queries keep the alternate walk of a substituted base, which has k new nodes."""
+    letter = {b: ch for ch, b in zip(bases.LETTERS, bases.LETTER_BASES, strict=True)}
+    plain, other = ("".join(letter[b] for b in s) for s in (SEQ, snp(SEQ, 45)))
+    spark.createDataFrame([(0, plain), (1, other)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, plain)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    k, d = catalog.K, str(tmp_path)
+    found = {r.colour: r["count"] for r in catalog.best_first(spark, d).groupBy("colour").count().collect()}
+    assert found == {subgraph.SHARED: 90 - k + 1, subgraph.FOUND: k}
+    assert catalog.unitig_segments(spark, d).count() == 4 and catalog.unitig_edges(spark, d).count() == 4
+    r = catalog.unitig_summary(spark, d).first()
+    assert (r.segments, r.edges, r.components, r.dead_ends) == (4, 4, 1, 2)
+    assert catalog.graph_export(spark, d).count() == 9
