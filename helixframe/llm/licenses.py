@@ -157,7 +157,8 @@ class Scanner:
             for w in run:
                 vocabulary.setdefault(w, len(vocabulary) + 1)
         self.vocabulary = vocabulary
-        self.automaton = SuffixAutomaton([[vocabulary[w] for w in run] for run in self.templates.values()])
+        self.runs = [[vocabulary[w] for w in run] for run in self.templates.values()]
+        self.automaton = SuffixAutomaton(self.runs)
         self.rare = {k: [vocabulary[w] for w in v] for k, v in self.phrases.items()}
         self.shortest = min([min_match, *(len(t) for t in self.templates.values())])
         #: a match as long as a whole short template counts too
@@ -197,14 +198,18 @@ class Scanner:
         )
 
     def _seeds(self, run: list[int], start: int, found: dict[int, list[tuple[int, int, int]]]) -> None:
-        """Maximal matches of a run: those whose statistic does not grow by one at the next word."""
-        stats = list(self.automaton.statistics(run))
-        for i, (state, length) in enumerate(stats):
-            if length < self.shortest or (i + 1 < len(stats) and stats[i + 1][1] == length + 1):
-                continue
-            for template, end in self.automaton.ends[state]:
-                if length >= min(self.min_match, self.whole[template]):
-                    found.setdefault(template, []).append((start + i - length + 1, end - length + 1, length))
+        """Per template the matches of a run that grow neither way in it; shorter ones than the longest are suffix links away."""
+        ends, link, size = self.automaton.ends, self.automaton.link, self.automaton.length
+        for i, (state, length) in enumerate(self.automaton.statistics(run)):
+            after = run[i + 1] if i + 1 < len(run) else 0
+            longer: set[tuple[int, int]] = set()
+            while state > 0 and length >= self.shortest:
+                for template, end in ends[state] - longer:
+                    grows = end + 1 < self.whole[template] and self.runs[template][end + 1] == after
+                    if not grows and length >= min(self.min_match, self.whole[template]):
+                        found.setdefault(template, []).append((start + i - length + 1, end - length + 1, length))
+                longer, state = ends[state], link[state]
+                length = size[state]
 
 
 def license_scan(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", min_match: int = MIN_MATCH, min_cover: float = MIN_COVER, templates: dict[str, list[str]] | None = None) -> DataFrame:

@@ -101,6 +101,41 @@ def test_spans_of_a_template():
     assert scan.covered["gpl-notice"] > 0.4 and scan.n_base == 0
 
 
+def covered_by_brute_force(text, template, min_match):
+    """Share of the template in the heaviest ascending chain of its own maximal matches."""
+    w, least = lic.words_of(text), min(min_match, len(template))
+    seeds = []
+    for a in range(len(w)):
+        for b in range(len(template)):
+            if w[a] != template[b] or (a and b and w[a - 1] == template[b - 1]):
+                continue
+            n = next((j for j in range(min(len(w) - a, len(template) - b)) if w[a + j] != template[b + j]), min(len(w) - a, len(template) - b))
+            seeds += [(a, b, n)] if n >= least else []
+    best = {}
+    for s in sorted(seeds):
+        best[s] = s[2] + max((v for p, v in best.items() if p[0] + p[2] <= s[0] and p[1] + p[2] <= s[1]), default=0)
+    return max(best.values(), default=0) / len(template)
+
+
+def test_matches_inside_longer_matches_of_other_templates(spark):
+    scanner, rng = lic.Scanner(), np.random.default_rng(3)
+    notice = " ".join(lic.TEMPLATES["apache-notice"])
+    texts = [notice, "x licensed under the apache license version 2 0 the license and other words", "all rights reserved " * 3]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.integers(1, 5)):
+            t = " ".join(lic.TEMPLATES[str(rng.choice(list(lic.TEMPLATES)))]).split()
+            a, b = sorted(rng.integers(0, len(t) + 1, 2))
+            parts += t[a:b] + ["other"] * int(rng.integers(0, 2))
+        texts.append(" ".join(parts))
+    want = [{k: v for k, t in scanner.templates.items() if (v := covered_by_brute_force(x.encode(), t, scanner.min_match))} for x in texts]
+    assert [{k: round(v, 9) for k, v in scanner.scan(x.encode()).covered.items()} for x in texts] == [{k: round(v, 9) for k, v in w.items()} for w in want]
+    got = {r.doc_id: r for r in lic.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (x, w) in enumerate(zip(texts, want, strict=True)):
+        assert got[i].labels == ",".join(sorted({*scanner.scan(x.encode()).base, *(k for k, v in w.items() if v >= lic.MIN_COVER)}))
+    assert "apache-short" in got[0].labels.split(",") and "apache-short" in got[1].labels.split(",")
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
