@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 import numpy as np
@@ -20,6 +21,15 @@ def _vocabulary(path: str, pattern: str):
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _added_tokens(path: str) -> dict[str, int]:
+    """Ids of a tokenizer file's added tokens, which are cut out of a text before anything else."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(a[flag] for a in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that match as they stand are known")
+    return {a["content"]: a["id"] for a in added}
+
+
 class ChunkCache(dict):
     """Maps a chunk to the packed ids of a space followed by the chunk; bounded in entries."""
 
@@ -39,21 +49,31 @@ class ChunkCache(dict):
 class Encoder:
     """``packed(text)``: little-endian 32-bit ids, equal to encoding the whole text.
 
+    The public vocabulary's added tokens are cut out of a text first; the parts between are encoded each on its own.
     The pre-tokenizer's pattern never matches across a single space that stands between two
     characters that are no white space, other than with the space as first character, so a text
     may be cut before each such space and its chunks encoded on their own.
     """
 
     def __init__(self, path: str | None = None, pattern: str | None = None, entries: int = 200_000) -> None:
+        self.added: dict[str, bytes] = {}
         if path is None or pattern is None:
             import public_tokenizers
 
+            if path is None:
+                self.added = {k: np.array([v], "<u4").tobytes() for k, v in _added_tokens(public_tokenizers.path("byte_bpe_50k.json")).items()}
             path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
             pattern = pattern or public_tokenizers.PATTERN
         self.encoding = _vocabulary(path, pattern)
         self.cache = ChunkCache(self.encoding, entries)
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def packed(self, text: str) -> bytes:
+        if self.cut is None:
+            return self._ordinary(text)
+        return b"".join(self.added[part] if i % 2 else self._ordinary(part) for i, part in enumerate(self.cut.split(text)))
+
+    def _ordinary(self, text: str) -> bytes:
         chunks = _SAFE_CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
         head = np.array(self.encoding.encode_ordinary(chunks[0]), "<u4").tobytes()
         return head + b"".join(map(self.cache.__getitem__, chunks[1:]))

@@ -136,6 +136,18 @@ def test_matches_inside_longer_matches_of_other_templates(spark):
     assert "apache-short" in got[0].labels.split(",") and "apache-short" in got[1].labels.split(",")
 
 
+def test_added_tokens_are_as_the_tokenizer_loads_them(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    full, token = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = [f"end {token} start", token, token * 3, f"a  {token}  b\n{token}\n", f"x{token}y <|endoftext |>", f"é{token} 漢字 🙂 {token}", "plain  text "]
+    want = [full.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    found = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), window=256, with_ids=True).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in found} == dict(enumerate(want))
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
