@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.bases import BASES, colour_name, reverse_complement, successor
+from helixframe.operators.components import connected_components
 from helixframe.operators.subgraph import both_strands, neighbours
 from helixframe.scratch import materialise
 
@@ -97,19 +98,10 @@ def unitigs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def graph_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, label): the smallest name reachable, by minimum labels and pointer jumping."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "pairs")
-    labels = materialise(nodes.select("name", F.col("name").alias("label")), "labels")
-    while True:
-        low = both.join(labels, both.b == labels.name).groupBy("a").agg(F.min("label").alias("low"))
-        step = labels.join(low, labels.name == low.a, "left").select("name", F.col("label").alias("was"), F.least("label", F.coalesce("low", "label")).alias("label"))
-        up = labels.select(F.col("name").alias("p"), F.col("label").alias("p_label"))
-        step = step.join(up, F.col("label") == F.col("p"), "left").select("name", "was", F.least("label", F.coalesce("p_label", "label")).alias("label"))
-        step = materialise(step, "labels")
-        labels = step.select("name", "label")
-        if step.where("was <> label").isEmpty():
-            return labels
+    """(name, label): the smallest name reachable."""
+    found = connected_components(edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    found = found.select(F.col("node").alias("l_name"), "label")
+    return nodes.select("name").join(found, F.col("name") == F.col("l_name"), "left").select("name", F.coalesce("label", "name").alias("label"))
 
 
 def _sides(edges: DataFrame) -> DataFrame:

@@ -9,13 +9,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: list[tuple[SparkSession, str]] = []
+_MADE: dict[str, SparkSession] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """Folder of ``spark.checkpoint.dir``. Where that is unset a temporary folder serves, if the master is local.
+
+    On a cluster every machine would have its own temporary folder, so there the setting is required.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -23,7 +29,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
+    _MADE[path] = spark
     return path
 
 
@@ -32,17 +38,26 @@ def materialise(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _MADE.pop(path, None)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` returned and that no open plan reads any more."""
+    for table in tables:
+        discard(table.sparkSession, table.scratch_path)
 
 
 @atexit.register
 def _discard_all() -> None:
-    for spark, path in _MADE:
+    for path, spark in list(_MADE.items()):
         with contextlib.suppress(Exception):
             discard(spark, path)
