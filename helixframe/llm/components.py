@@ -1,29 +1,5 @@
-"""Connected components of an edge table by minimum labels and pointer jumping."""
+"""Connected components of link tables: the library's own."""
 
-from __future__ import annotations
+from helixframe.operators.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from helixframe.llm.store import materialise
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label) for every node of ``edges`` (a, b: long); label is the smallest node reachable.
-
-    Each round takes the least label among neighbours, then the label of that label, and
-    writes the result, so lineage stays short and nothing gathers on the driver. A hub's
-    rows meet one row of the label table, so skewed joins may be split.
-    """
-    both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "cc-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "cc-labels")
-    for _ in range(rounds):
-        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("low"))
-        step = labels.join(seen, labels.node == seen.a).select("node", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        up = labels.select(F.col("node").alias("p_node"), F.col("label").alias("p_label"))
-        step = step.join(up, F.col("label") == F.col("p_node"), "left").select("node", "was", F.least("label", F.coalesce("p_label", "label")).alias("label"))
-        step = materialise(step, "cc-labels")
-        if step.where("was <> label").isEmpty():
-            return step.select("node", "label")
-        labels = step.select("node", "label")
-    raise RuntimeError("components did not settle")
+__all__ = ["connected_components"]
