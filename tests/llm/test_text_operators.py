@@ -320,34 +320,3 @@ def test_simhash(docs, empty):
     assert simhash.simhash_report(empty).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.count() == len(names) and kept.columns == docs.columns
-
-
-def test_vantage_point_links_are_exact():
-    rng = np.random.default_rng(6)
-    centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    near = [c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False))) for c in centres for _ in range(30)]
-    points = np.unique(np.array([*centres, *near, *rng.integers(0, 1 << 63, 500, dtype=np.uint64)], np.uint64))
-    labels, brute = simhash.link_shard(points, 3, leaf=32), np.arange(len(points))
-    simhash._close_pairs(points, np.arange(len(points)), brute, 3)
-    assert len(set(zip(labels.tolist(), brute.tolist(), strict=True))) == len(set(brute.tolist())) == len(set(labels.tolist()))
-
-
-def test_split_shards_lose_no_link(spark):
-    rng = np.random.default_rng(8)
-    centre = int(rng.integers(0, 1 << 62))
-    points = sorted({centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (300, 2))})
-    d = spark.createDataFrame([(p,) for p in points], "fp long")
-    links = simhash.near_links(d, 3, leaf=40, splits=3)
-    labels = {r.node: r.label for r in simhash.connected_components(links).collect()}
-    brute = np.arange(len(points))
-    simhash._close_pairs(np.array(points, np.uint64), brute.copy(), brute, 3)
-    assert len({labels.get(p, p) for p in points}) == len(set(brute.tolist()))
-
-
-def test_block_choices_hold_every_near_pair():
-    rng = np.random.default_rng(9)
-    for count in (1000, 1 << 25, 1 << 33):
-        masks = simhash.block_masks(count, 3)
-        for _ in range(300):
-            diff = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
-            assert any(m & diff == 0 for m in masks)
