@@ -43,6 +43,20 @@ def materialise(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     return out
 
 
+def bucketed(df: DataFrame, tag: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
+    """Write ``df`` in the shared scratch folder in ``buckets`` buckets by ``keys``, each sorted, and return it as a table.
+
+    Joins and aggregations on the keys of such tables need no shuffle.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, *keys).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    out = spark.table(name)
+    out.scratch_path, out.scratch_name = path, name
+    return out
+
+
 def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -53,6 +67,8 @@ def discard(spark: SparkSession, path: str) -> None:
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``materialise`` returned and that no open plan reads any more."""
     for table in tables:
+        if name := getattr(table, "scratch_name", None):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         discard(table.sparkSession, table.scratch_path)
 
 
