@@ -46,12 +46,13 @@ def materialise(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
 def bucketed(df: DataFrame, tag: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
     """Write ``df`` in the shared scratch folder in ``buckets`` buckets by ``keys``, each sorted, and return it as a table.
 
-    Joins and aggregations on the keys of such tables need no shuffle.
+    Joins and aggregations on the keys of such tables need no shuffle. Rows that come hash-partitioned by the
+    keys, as from a group or join on them, are written as one file a bucket.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(buckets, *keys).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
     out = spark.table(name)
     out.scratch_path, out.scratch_name = path, name
     return out
