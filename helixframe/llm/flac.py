@@ -11,11 +11,16 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 BLOCK, LPC_ORDER, PRECISION = 4096, 4, 10
+#: samples that are coded at once, and decoded at once
+GROUP, DECODED = 1 << 18, 1 << 20
+#: seek points that one metadata block can hold
+_POINTS = ((1 << 24) - 1) // 18
 SIZES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608} | {i: 256 << (i - 8) for i in range(8, 16)}
 SIZE_CODES = {v: k for k, v in SIZES.items()}
 DEPTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
@@ -73,6 +78,15 @@ class _Crc16:
     def one(self, data: np.ndarray) -> int:
         return int(self.of(data, np.array([0]), np.array([len(data)]))[0]) if len(data) else 0
 
+    def extended(self, total: int, data: np.ndarray, step: int = 1 << 13) -> int:
+        """The sum of bytes with sum ``total`` followed by ``data``, in pieces of ``step`` bytes."""
+        for at in range(0, len(data), step):
+            part = data[at : at + step].copy()
+            part[: min(2, len(part))] ^= np.array([total >> 8, total & 255], np.uint8)[: len(part)]
+            carried = (total & 255) << 8 if len(part) == 1 else 0
+            total = self.one(part) ^ carried
+        return total
+
 
 _SUM16 = _Crc16()
 
@@ -213,39 +227,46 @@ def _encode_frames(frames: list[np.ndarray], numbers: list[int], depth: int, lpc
 
 
 def encode_many(signals: list[np.ndarray], depth: int = 8, rate: int = 8000, block: int = BLOCK, lpc_order: int = LPC_ORDER) -> list[bytes]:
-    """FLAC streams of mono integer signals, with a seek point for every frame."""
-    parts = [(len(s[at : at + block]), i, at // block, s[at : at + block]) for i, s in enumerate(signals) for at in range(0, len(s), block)]
-    parts.sort(key=lambda p: p[0])
+    """FLAC streams of mono integer signals of any integer type, with a seek point for every frame.
+
+    Frames of similar length are coded side by side, ``GROUP`` samples at once, so memory beside the signals and
+    the coded bytes doesn't grow with the length of a signal.
+    """
+    parts = [(min(block, len(s) - at), i, at // block) for i, s in enumerate(signals) for at in range(0, len(s), block)]
+    parts.sort()
     coded: dict[tuple[int, int], bytes] = {}
     at = 0
     while at < len(parts):
         end = at + 1
-        while end < len(parts) and parts[end][0] <= 1.3 * parts[at][0] + 64 and (end - at) * parts[end][0] < 1 << 18:
+        while end < len(parts) and parts[end][0] <= 1.3 * parts[at][0] + 64 and (end - at) * parts[end][0] < GROUP:
             end += 1
-        frames = _encode_frames([p[3] for p in parts[at:end]], [p[2] for p in parts[at:end]], depth, lpc_order)
-        coded |= {(p[1], p[2]): f for p, f in zip(parts[at:end], frames, strict=True)}
+        own = parts[at:end]
+        frames = _encode_frames([signals[i][j * block : j * block + n] for n, i, j in own], [j for _, _, j in own], depth, lpc_order)
+        coded |= {(i, j): f for (_, i, j), f in zip(own, frames, strict=True)}
         at = end
-    width = np.dtype(f"<i{1 if depth <= 8 else 2 if depth <= 16 else 4}")
     out = []
     for i, s in enumerate(signals):
-        own = [coded[i, j] for j in range(-(-len(s) // block))]
-        raw = s.astype(width).tobytes() if depth in (8, 16, 32) else s.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : -(-depth // 8)].tobytes()
+        own = [coded.pop((i, j)) for j in range(-(-len(s) // block))]
+        whole = hashlib.md5()
+        for at in range(0, len(s), GROUP):
+            whole.update(pcm_bytes(s[at : at + GROUP].reshape(-1, 1), depth))
         sizes = [len(f) for f in own] or [0]
         info = struct.pack(">HH", block, block) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
-        info += (rate << 44 | 0 << 41 | (depth - 1) << 36 | len(s)).to_bytes(8, "big") + hashlib.md5(raw).digest()
+        info += (rate << 44 | 0 << 41 | (depth - 1) << 36 | len(s)).to_bytes(8, "big") + whole.digest()
         seek, offset = [], 0
         for j, f in enumerate(own):
             seek.append(struct.pack(">QQH", j * block, offset, min(block, len(s) - j * block)))
             offset += len(f)
-        points = b"".join(seek)
-        head = b"fLaC" + bytes([0x80 * (not points), 0, 0, 34]) + info
-        out.append(head + (b"\x83" + len(points).to_bytes(3, "big") + points if points else b"") + b"".join(own))
+        tables = [seek[j : j + _POINTS] for j in range(0, len(seek), _POINTS)]
+        heads = [b"\x00" + (34).to_bytes(3, "big") + info, *(b"\x03" + (18 * len(t)).to_bytes(3, "big") + b"".join(t) for t in tables)]
+        heads[-1] = bytes([heads[-1][0] | 0x80]) + heads[-1][1:]
+        out.append(b"fLaC" + b"".join(heads) + b"".join(own))
     return out
 
 
 @dataclass
 class Stream:
-    """Metadata of a stream: frames begin at ``start``; ``seek`` has (sample, offset, samples)."""
+    """Metadata of a stream: frames begin at ``start`` and have ``largest`` bytes at most (0: unknown); ``seek`` has (sample, offset, samples)."""
 
     rate: int
     channels: int
@@ -254,6 +275,7 @@ class Stream:
     block: int
     md5: bytes
     start: int
+    largest: int = 0
     seek: list[tuple[int, int, int]] = field(default_factory=list)
 
 
@@ -271,9 +293,9 @@ def read_metadata(data: bytes) -> Stream:
             raise FlacError("metadata cut off")
         if kind & 0x7F == 0 and size >= 34:
             packed = int.from_bytes(body[10:18], "big")
-            stream = Stream(packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, int.from_bytes(body[2:4], "big"), body[18:34], 0)
+            stream = Stream(packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, int.from_bytes(body[2:4], "big"), body[18:34], 0, int.from_bytes(body[7:10], "big"))
         elif kind & 0x7F == 3:
-            seek = [p for p in struct.iter_unpack(">QQH", body[: size // 18 * 18]) if p[0] != (1 << 64) - 1]
+            seek += [p for p in struct.iter_unpack(">QQH", body[: size // 18 * 18]) if p[0] != (1 << 64) - 1]
         if kind & 0x80:
             break
     if stream is None:
@@ -328,7 +350,8 @@ def _header_at(data: bytes, at: int, stream: Stream) -> Frame | None:
 def find_frames(data: bytes, stream: Stream) -> list[Frame]:
     """All frames of a stream. A frame ends where its CRC-16 holds and another header or the end follows.
 
-    Where no end verifies, the frame up to the next header is returned with ``ok`` false.
+    Every later header is tried, up to the largest frame that the metadata state; the sum is carried from one to the
+    next. Where no end verifies, the frame up to the next header is returned with ``ok`` false.
     """
     raw = np.frombuffer(data, np.uint8)
     heads = [h for m in _SYNC.finditer(data, stream.start) if (h := _header_at(data, m.start(), stream))]
@@ -336,20 +359,21 @@ def find_frames(data: bytes, stream: Stream) -> list[Frame]:
     if heads and heads[0].start != stream.start:
         out.append(Frame(stream.start, heads[0].start, stream.start, 0, 0, stream.depth, 0, False))
     while i < len(heads):
-        ends = [h.start for h in heads[i + 1 :]] + [len(data)]
-        for j, end in enumerate(ends):
-            if end - heads[i].start > 4 and _SUM16.one(raw[heads[i].start : end - 2]) == int.from_bytes(data[end - 2 : end], "big"):
+        start, total, at = heads[i].start, 0, heads[i].start
+        heads[i].ok, after = False, i + 1
+        heads[i].stop = heads[i + 1].start if i + 1 < len(heads) else len(data)
+        for j in range(i + 1, len(heads) + 1):
+            end = heads[j].start if j < len(heads) else len(data)
+            if stream.largest and end - start > stream.largest:
                 break
-            if j > 8:
-                j, end = 0, ends[0]
-                heads[i].ok = False
+            if end - start <= 4:
+                continue
+            total, at = _SUM16.extended(total, raw[at : end - 2]), end - 2
+            if total == int.from_bytes(data[end - 2 : end], "big"):
+                heads[i].ok, heads[i].stop, after = True, end, j
                 break
-        else:
-            j, end = 0, ends[0]
-            heads[i].ok = False
-        heads[i].stop = end
         out.append(heads[i])
-        i += j + 1
+        i = after
     return out
 
 
@@ -554,39 +578,56 @@ def pcm_bytes(samples: np.ndarray, depth: int) -> bytes:
 
 @dataclass
 class Decoded:
-    """A decoded stream: ``blocks`` has (sample offset, samples or None, frame verified)."""
+    """What a stream's metadata and frames say: ``error`` where it is no stream; ``md5_ok`` once all frames are seen."""
 
     stream: Stream | None
-    blocks: list[tuple[int, np.ndarray | None, bool]]
-    md5_ok: bool
     error: str | None = None
+    samples: int = 0
+    good: bool = True
+    digest: object = field(default_factory=hashlib.md5)
+
+    @property
+    def md5_ok(self) -> bool:
+        stream = self.stream
+        return bool(stream and self.good and self.samples == stream.samples and stream.md5 in (self.digest.digest(), bytes(16)))
+
 
+def decode_blocks(media: list[bytes | None], group: int = DECODED) -> Iterator[tuple[int, Decoded, Frame | None, np.ndarray | None]]:
+    """(number of the stream, its state, frame, samples or None) of all streams, in order; a value that is no stream has one item without frame.
+
+    Frames are decoded ``group`` samples at once, so memory doesn't grow with the length of a stream.
+    """
+    held: list[tuple[int, Decoded, np.ndarray, Frame]] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[int, Decoded, Frame | None, np.ndarray | None]]:
+        for (i, d, _, frame), samples in zip(held, decode_frames([(raw, f) for *_, raw, f in held]), strict=True):
+            if samples is None:
+                d.good = False
+            else:
+                d.samples += len(samples)
+                d.digest.update(pcm_bytes(samples, d.stream.depth))
+            yield i, d, frame, samples
+        held.clear()
 
-def decode_many(media: list[bytes | None]) -> list[Decoded]:
-    streams, pieces, owner = [], [], []
     for i, data in enumerate(media):
         try:
             stream = read_metadata(data or b"")
             frames = find_frames(data, stream)
         except FlacError as e:
-            streams.append(str(e))
-            continue
-        streams.append(stream)
-        raw = np.frombuffer(data, np.uint8)
-        pieces += [(raw, f) for f in frames]
-        owner += [i] * len(frames)
-    blocks: list[list] = [[] for _ in media]
-    for i, (_, frame), samples in zip(owner, pieces, decode_frames(pieces), strict=True):
-        blocks[i].append((frame.sample, samples, frame.ok and samples is not None))
-    out = []
-    for stream, own in zip(streams, blocks, strict=True):
-        if isinstance(stream, str):
-            out.append(Decoded(None, [], False, stream))
+            yield from flush()
+            size = 0
+            yield i, Decoded(None, str(e)), None, None
             continue
-        whole = hashlib.md5()
-        for _, samples, _ in own:
-            if samples is not None:
-                whole.update(pcm_bytes(samples, stream.depth))
-        good = all(ok for *_, ok in own) and sum(len(s) for _, s, _ in own) == stream.samples
-        out.append(Decoded(stream, own, good and (whole.digest() == stream.md5 or stream.md5 == bytes(16)), None))
-    return out
+        state, raw = Decoded(stream), np.frombuffer(data, np.uint8)
+        if not frames:
+            yield from flush()
+            size = 0
+            yield i, state, None, None
+        for frame in frames:
+            held.append((i, state, raw, frame))
+            size += max(frame.block, 1)
+            if size >= group:
+                yield from flush()
+                size = 0
+    yield from flush()
