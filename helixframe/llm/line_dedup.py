@@ -1,10 +1,11 @@
 """Line dedup on levelled sorted runs of line hashes, in DataFrame functions only.
 
-Documents come in batches. A batch's line keys (two 64-bit hashes each) are merge-anti-joined
-with the runs' saturated keys, those already known to be frequent; the rest is counted and
-added as a new sorted run on level 0. When a level holds ``fanout`` runs they are compacted into
-one sorted run of the next level, and keys that reach the limit move to the saturated run.
-A key counts once a document, so partial counts of disjoint batches add up exactly.
+Documents come in batches. A batch's line keys (two 64-bit hashes each) are counted by document and
+merge-anti-joined with all runs: keys that no run holds become a new run on level 0, and the
+counts of known keys become a run of additions. When a level holds ``fanout`` runs they are compacted, with the
+additions so far, into one run of the next level. Runs are bucketed by the key and sorted in their buckets, so
+a batch meets every run in place, without a shuffle; only compactions shuffle, partial sums of a key's counts.
+A key counts once a document, and batches hold different documents, so its counts add up exactly.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.store import materialise
+from helixframe.llm.nested import nested, own, unnested
+from helixframe.llm.store import bucketed, materialise, release
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\x0c\r"
-HASH = ("__h1", "__h2")
+HASH = ("h1", "h2")
 
 
 def lines_of(text: Column) -> Column:
@@ -26,88 +28,96 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hashes(text: Column, min_chars: int) -> Column:
-    """Per line the struct (__h1, __h2) of its key, null where the key is too short."""
+    """Per line the struct (h1, h2) of its key, null where the key is too short."""
     def one(line: Column) -> Column:
         key = F.btrim(line, F.lit(BLANK))
-        return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("__h1"), F.xxhash64(F.lit("line"), key).alias("__h2")))
+        return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")))
 
     return F.transform(lines_of(F.translate(text, UPPER, LOWER)), one)
 
 
 class LineRuns:
-    """Levels of sorted runs (__h1, __h2, __docs) and one run of saturated keys."""
+    """Levels of runs (h1, h2, docs): a key's documents are the sum over all runs and additions."""
 
     def __init__(self, spark: SparkSession, limit: int, fanout: int = 3) -> None:
-        self.spark, self.limit, self.fanout = spark, limit, fanout
+        self.limit, self.fanout = limit, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
-        self.saturated: DataFrame | None = None
+        self.additions: list[DataFrame] = []
 
     def _written(self, run: DataFrame) -> DataFrame:
-        return materialise(run.sortWithinPartitions(*HASH), "line-run")
+        return bucketed(run, "line_run", HASH, self.buckets)
+
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of ``keys`` whose line is in no run: first occurrences across batches."""
-        for run in [r for level in self.levels for r in level] + ([self.saturated] if self.saturated is not None else []):
-            keys = keys.join(run.select(*HASH), list(HASH), "left_anti")
+        for run in self.runs():
+            keys = keys.join(run.select(*HASH).hint("merge"), list(HASH), "left_anti")
         return keys
 
     def add(self, keys: DataFrame) -> None:
-        """``keys``: (__h1, __h2, __doc), one row a line key and document of this batch."""
-        if self.saturated is not None:
-            keys = keys.join(self.saturated, list(HASH), "left_anti")
-        run = keys.groupBy(*HASH, "__doc").agg(F.lit(1).alias("__one")).groupBy(*HASH).agg(F.count("*").alias("__docs"))
-        self._place(self._written(run), 0)
+        """``keys``: (h1, h2, doc), one row or more a line key and document of this batch."""
+        counts = keys.groupBy(*HASH, "doc").agg(F.lit(1).alias("one")).groupBy(*HASH).agg(F.count("*").alias("docs"))
+        if not self.levels:
+            self._place(self._written(counts), 0)
+            return
+        batch = self._written(counts)
+        fresh = self._written(self.unseen(batch))
+        self.additions.append(self._written(batch.join(fresh.select(*HASH).hint("merge"), list(HASH), "left_anti")))
+        release(batch)
+        self._place(fresh, 0)
 
     def _place(self, run: DataFrame, level: int) -> None:
         if len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._written(self._summed(self.levels[level]))
-            self.levels[level] = []
-            full = merged.where(F.col("__docs") >= self.limit).select(*HASH)
-            self.saturated = materialise(full if self.saturated is None else full.unionByName(self.saturated).distinct(), "line-saturated")
+            old = [*self.levels[level], *self.additions]
+            merged = self._written(self._summed(old))
+            release(*old)
+            self.levels[level], self.additions = [], []
             self._place(merged, level + 1)
 
     @staticmethod
     def _summed(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy(*HASH).agg(F.sum("__docs").alias("__docs"))
+        # Spark takes a union of bucketed scans for partitioned by their keys but reads the buckets one after
+        # another, so equal keys would stay apart; a computed key makes it shuffle the partial sums
+        plain = [r.select(*[F.col(h).bitwiseXOR(F.lit(0)).alias(h) for h in HASH], "docs") for r in runs]
+        return reduce(DataFrame.unionByName, plain).groupBy(*HASH).agg(F.sum("docs").alias("docs"))
 
     def frequent(self) -> DataFrame:
-        """All keys found in at least ``limit`` documents."""
-        runs = [r for level in self.levels for r in level]
-        found = self._summed(runs).where(F.col("__docs") >= self.limit).select(*HASH)
-        if self.saturated is not None:
-            found = found.unionByName(self.saturated).distinct()
-        return materialise(found, "line-frequent")
+        """All keys found in at least ``limit`` documents; the runs are given up."""
+        old = [*self.runs(), *self.additions]
+        found = materialise(self._summed(old).where(F.col("docs") >= self.limit).select(*HASH), "line-frequent")
+        release(*old)
+        self.levels, self.additions = [], []
+        return found
 
 
 def dropped_lines(docs: DataFrame, text: str, ident: str, min_docs: int, min_chars: int, batches: int) -> DataFrame:
-    """(__doc, __th, __drop): line numbers to drop, from 0 and ascending, of every affected text."""
-    spark = docs.sparkSession
-    slim = docs.select(
-        F.col(ident).alias("__doc"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th"),
-        line_hashes(F.coalesce(F.col(text), F.lit("")), min_chars).alias("__lines"),
-        F.pmod(F.xxhash64(F.col(ident)), F.lit(batches)).cast("int").alias("__batch"),
+    """(doc, hash, drop): line numbers to drop, from 0 and ascending, of every affected text."""
+    whole = F.coalesce(own(text), F.lit(""))
+    slim = nested(docs).select(
+        own(ident).alias("doc"), F.xxhash64(whole).alias("hash"), line_hashes(whole, min_chars).alias("lines"), F.pmod(F.xxhash64(own(ident)), F.lit(batches)).cast("int").alias("batch")
     )
-    slim = materialise(slim, "line-keys", ("__batch",))
-    runs = LineRuns(spark, min_docs)
+    slim = materialise(slim, "line-keys", ("batch",))
+    runs = LineRuns(docs.sparkSession, min_docs)
     for batch in range(batches):
-        own = slim.where(F.col("__batch") == batch).select("__doc", F.explode(F.array_distinct("__lines")).alias("__l")).where("__l is not null")
-        runs.add(own.select("__l.__h1", "__l.__h2", "__doc"))
-    placed = slim.select("__doc", "__th", F.posexplode("__lines").alias("__pos", "__l")).where("__l is not null").select("__doc", "__th", "__pos", "__l.__h1", "__l.__h2")
+        mine = slim.where(F.col("batch") == batch).select("doc", F.explode(F.array_distinct("lines")).alias("l")).where("l is not null")
+        runs.add(mine.select("l.h1", "l.h2", "doc"))
+    placed = slim.select("doc", "hash", F.posexplode("lines").alias("pos", "l")).where("l is not null").select("doc", "hash", "pos", "l.h1", "l.h2")
     hit = placed.join(runs.frequent(), list(HASH), "left_semi")
-    return hit.groupBy("__doc", "__th").agg(F.sort_array(F.collect_set("__pos")).alias("__drop"))
+    return hit.groupBy("doc", "hash").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
-def spliced(rows: DataFrame, text: str) -> tuple[DataFrame, Column]:
-    """``rows`` with their lines as ``__all``, and the text without the lines numbered in ``__drop`` (ascending; null: none)."""
-    lines = lines_of(F.col(text))
-    starts = F.concat(F.array(F.lit(0)), F.transform("__drop", lambda x: x + 1))
-    ends = F.concat(F.col("__drop"), F.array(F.size(lines)))
-    spans = F.zip_with(starts, ends, lambda a, b: F.slice(F.col("__all"), a + 1, b - a))
-    return rows.withColumn("__all", lines), F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(spans), "\n"))
+def spliced(text: Column, lines: Column, drop: Column) -> Column:
+    """``text`` without the lines numbered in ``drop`` (ascending; null: none)."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(drop, lambda x: x + 1))
+    ends = F.concat(drop, F.array(F.size(lines)))
+    spans = F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a))
+    return F.when(drop.isNull(), text).otherwise(F.array_join(F.flatten(spans), "\n"))
 
 
 def drop_frequent_lines(
@@ -118,19 +128,16 @@ def drop_frequent_lines(
     The key is the line without blanks at its ends, A-Z in lower case. Null or empty texts are
     one empty line and stay; a null text without dropped lines stays null. Rows with equal
     identifier are one document when lines are counted (null identifiers too), and each keeps its
-    own row. Empty tables give empty results; further columns stay. With ``report``: also
-    ``n_lines`` and ``n_dropped``.
+    own row. Identifiers may have any type and columns any name. Empty tables give empty results; further
+    columns stay. With ``report``: also ``n_lines`` and ``n_dropped``, which ``docs`` may then not have.
     """
     drop = dropped_lines(docs, text, ident, min_docs, min_chars, batches)
     # the same sort-merge join at every size: texts are shuffled once, never gathered
-    drop = materialise(drop, "line-drops").withColumnRenamed("__doc", "__ddoc").withColumnRenamed("__th", "__dth").hint("merge")
-    keyed = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    out = keyed.join(drop, F.col(ident).eqNullSafe(F.col("__ddoc")) & (F.col("__th") == F.col("__dth")), "left")
-    out, kept = spliced(out, text)
-    columns = [kept.alias(c) if c == text else F.col(c) for c in docs.columns]
-    if report:
-        columns += [F.size("__all").cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped")]
-    return out.select(*columns)
+    drop = materialise(drop, "line-drops").select(F.col("doc").alias("d_doc"), F.col("hash").alias("d_hash"), "drop").hint("merge")
+    keyed = nested(docs).withColumn("doc", own(ident)).withColumn("hash", F.xxhash64(F.coalesce(own(text), F.lit(""))))
+    out = keyed.join(drop, F.col("doc").eqNullSafe(F.col("d_doc")) & (F.col("hash") == F.col("d_hash")), "left").withColumn("all", lines_of(own(text)))
+    counts = [F.size("all").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped")]
+    return unnested(out, docs.columns, {text: spliced(own(text), F.col("all"), F.col("drop"))}, counts if report else ())
 
 
 LINES_SQL = r"""
@@ -147,5 +154,6 @@ FROM keyed LEFT JOIN frequent f USING (k) GROUP BY doc_id
 
 
 def line_report(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept_sha256 of every row; awkward rows as in ``drop_frequent_lines`` (a null text hashes as an empty one)."""
     out = drop_frequent_lines(docs.select("doc_id", "text"), min_docs=min_docs, min_chars=min_chars, report=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

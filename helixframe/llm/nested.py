@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -19,9 +21,10 @@ def own(column: str) -> Column:
     return F.col(f"{ROW}.{_quoted(column)}")
 
 
-def unnested(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
-    """The caller's ``columns`` again, some ``changed``."""
-    return rows.select(*[(changed[c] if c in changed else own(c)).alias(c) for c in columns])
+def unnested(rows: DataFrame, columns: list[str], changed: dict[str, Column] | None = None, more: Sequence[Column] = ()) -> DataFrame:
+    """The caller's ``columns`` again, some ``changed``, and ``more`` after them."""
+    changed = changed or {}
+    return rows.select(*[(changed[c] if c in changed else own(c)).alias(c) for c in columns], *more)
 
 
 def _quoted(column: str) -> str:
