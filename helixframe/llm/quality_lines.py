@@ -1,8 +1,11 @@
 """Quality rules: line frequency across the documents of a host, and base counts of a text.
 
-Normalised lines are hashed with their host. A line's frequency is the number of distinct texts of
-the host that hold it, so exact copies count once. Lines above the host's limit are boilerplate and
-are removed; a document that loses more than ``max_loss`` of its words with them is depleted and rejected.
+Normalised lines are hashed with their host. A line's frequency is the number of distinct documents of
+the host that hold it. Lines above the host's limit are boilerplate and are removed; a document that
+loses more than ``max_loss`` of its words with them is depleted and rejected.
+
+Documents are distinct by their text, or with ``copies`` by their identifier. By identifier every line of a text that
+has more exact copies than the limit is boilerplate, so no copy of it would be kept; copies are another operator's.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.line_dedup import spliced
+from helixframe.llm.line_dedup import lines_of, spliced
+from helixframe.llm.nested import identifier, nested, own, unnested
 from helixframe.llm.store import materialise
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -83,7 +87,8 @@ def measure(text: str, host: str | None) -> tuple[int, int, int, int, int, int,
 def measured(docs: DataFrame, text: str, ident: str, host: str) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash"]
     item = pa.struct([("key", pa.int64()), ("words", pa.int64()), ("at", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *((c, pa.int64()) for c in counts), ("lines", pa.list_(item))])
+    kind, arrow = identifier(docs, ident)
+    schema = pa.schema([("doc_id", arrow), ("host", pa.string()), *((c, pa.int64()) for c in counts), ("lines", pa.list_(item))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,54 +105,70 @@ def measured(docs: DataFrame, text: str, ident: str, host: str) -> DataFrame:
             arrays = [pa.array(c, pa.int64()) for c in columns]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], schema=schema)
 
-    out = "doc_id long, host string, " + ", ".join(f"{c} long" for c in counts) + ", lines array<struct<key:long,words:long,at:int>>"
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text)).mapInArrow(run, out)
+    out = f"doc_id {kind}, host string, " + ", ".join(f"{c} long" for c in counts) + ", lines array<struct<key:long,words:long,at:int>>"
+    return docs.select(F.col(ident).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text")).mapInArrow(run, out)
 
 
 def line_quality(
-    docs: DataFrame, *, text: str = "text", ident: str = "doc_id", host: str = "source", min_limit: int = MIN_LIMIT, limit_share: float = LIMIT_SHARE, max_loss: float = MAX_LOSS
+    docs: DataFrame,
+    *,
+    text: str = "text",
+    ident: str = "doc_id",
+    host: str = "source",
+    min_limit: int = MIN_LIMIT,
+    limit_share: float = LIMIT_SHARE,
+    max_loss: float = MAX_LOSS,
+    copies: bool = False,
 ) -> DataFrame:
     """Per document: base counts, ``base_failed``, ``n_boilerplate_words``, ``kept``, ``boilerplate``
     (numbers of the lines above the limit, from 0 and ascending; null: none) and ``text_hash``.
 
     The limit of a host is ``limit_share`` of its documents, at least ``min_limit``. Null and
     empty texts have no words and fail the base rule; null hosts are one host. Rows of equal
-    identifier and text get equal results, each row its own. An empty table gives none.
+    identifier and text get equal results, each row its own; with ``copies`` null identifiers are one document.
+    Identifiers keep their type. An empty table gives none.
     """
     base = materialise(measured(docs, text, ident, host), "line-quality")
     hosts = base.groupBy("host").agg(F.greatest(F.lit(float(min_limit)), F.count("*") * F.lit(float(limit_share))).alias("limit"))
     lines = base.select("doc_id", "host", "text_hash", F.explode("lines").alias("line")).select("doc_id", "host", "text_hash", "line.key", "line.words", "line.at")
-    texts = lines.groupBy("key", "text_hash").agg(F.min("host").alias("host"))
-    found = texts.groupBy("key").agg(F.count("*").alias("texts"), F.min("host").alias("host"))
-    # a line of no more texts than the least limit is below every host's
-    found = materialise(found.where(F.col("texts") > min_limit), "line-found")
+    holders = lines.groupBy("key", "doc_id" if copies else "text_hash").agg(F.min("host").alias("host"))
+    found = holders.groupBy("key").agg(F.count("*").alias("holders"), F.min("host").alias("host"))
+    # a line of no more documents than the least limit is below every host's
+    found = materialise(found.where(F.col("holders") > min_limit), "line-found")
     limits = materialise(hosts, "line-limits").withColumnRenamed("host", "l_host")
-    frequent = found.join(limits, F.col("host").eqNullSafe(F.col("l_host"))).where(F.col("texts") > F.col("limit")).select(F.col("key").alias("f_key"))
+    frequent = found.join(limits, F.col("host").eqNullSafe(F.col("l_host"))).where(F.col("holders") > F.col("limit")).select(F.col("key").alias("f_key"))
     frequent = materialise(frequent, "line-above")
-    lost = lines.join(frequent, F.col("key") == F.col("f_key"), "left_semi").groupBy("doc_id", "text_hash")
+    lost = lines.join(frequent, F.col("key") == F.col("f_key"), "left_semi").groupBy("doc_id", "text_hash", "host")
     # repeated rows add the same places: a set holds each once
     lost = lost.agg(F.collect_set(F.struct("at", "words")).alias("places"))
     n_lost = F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["words"])
-    lost = lost.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), n_lost.alias("n_boilerplate_words"), F.array_sort(F.transform("places", lambda p: p["at"])).alias("boilerplate"))
-    out = base.drop("lines").join(lost, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    lost = lost.select(
+        F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("host").alias("s"), n_lost.alias("n_boilerplate_words"), F.array_sort(F.transform("places", lambda p: p["at"])).alias("boilerplate")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & F.col("host").eqNullSafe(F.col("s"))
+    out = base.drop("lines").join(lost, same, "left")
     gone = F.coalesce("n_boilerplate_words", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select(*counts, gone.alias("n_boilerplate_words"), failed.alias("base_failed"), (~failed & (gone <= F.col("n_words") * F.lit(float(max_loss)))).alias("kept"), "boilerplate", "text_hash")
+    return out.select(
+        *counts, gone.alias("n_boilerplate_words"), failed.alias("base_failed"), (~failed & (gone <= F.col("n_words") * F.lit(float(max_loss)))).alias("kept"), "boilerplate", "text_hash", "host"
+    )
 
 
 def clean_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, without their lines above the limit; further columns stay."""
-    ident, text = options.get("ident", "doc_id"), options.get("text", "text")
-    found = line_quality(docs, **options).where("not kept or boilerplate is not null").dropDuplicates(["doc_id", "text_hash"])
-    found = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("kept").alias("__kept"), F.col("boilerplate").alias("__drop"))
-    same = F.col(ident).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__h"))
-    out, cut = spliced(docs.join(materialise(found, "line-decided").hint("merge"), same, "left").where("__kept is null or __kept"), text)
-    return out.select(*[cut.alias(c) if c == text else F.col(c) for c in docs.columns])
+    """The documents that the rules keep, without their lines above the limit; further columns stay and may have any names."""
+    ident, text, host = options.get("ident", "doc_id"), options.get("text", "text"), options.get("host", "source")
+    found = line_quality(docs, **options).where("not kept or boilerplate is not null").dropDuplicates(["doc_id", "text_hash", "host"])
+    found = materialise(found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("host").alias("s"), "kept", "boilerplate"), "line-decided").hint("merge")
+    rows = nested(docs).withColumn("id", own(ident)).withColumn("hash", F.xxhash64(F.coalesce(own(text), F.lit("")))).withColumn("host", own(host).cast("string"))
+    same = F.col("id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")) & F.col("host").eqNullSafe(F.col("s"))
+    out = rows.join(found, same, "left").where("kept is null or kept").withColumn("all", lines_of(own(text)))
+    return unnested(out, docs.columns, {text: spliced(own(text), F.col("all"), F.col("boilerplate"))})
 
 
 def line_quality_report(docs: DataFrame) -> DataFrame:
-    return line_quality(docs).drop("text_hash", "boilerplate")
+    """Counts and verdicts of every row, without the places; awkward rows as in ``line_quality``."""
+    return line_quality(docs).drop("text_hash", "boilerplate", "host")
 
 
 QUALITY_SQL = r"""
