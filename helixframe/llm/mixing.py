@@ -4,9 +4,9 @@ Every source gets a token target. Whole epochs of the source come first; the res
 the target is filled with the documents of smallest exponential key
 ``-ln(u) / weight``, summed in key order until the budget is met.
 
-A source may hold any share of the rows: keys fall into fixed buckets, bucket totals
-are prefix-summed (at most ``BUCKETS`` rows a source), and rows are ordered only
-inside the one bucket of each source in which the budget runs out.
+A source may hold any share of the rows: keys fall into buckets of equal width in ``ln(key)``, which any
+weights only shift, bucket totals are prefix-summed, and rows are ordered only inside the one bucket of each
+source in which the budget runs out: under 0.04 % of the source for weights alike.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.llm.nested import ROW, nested, own, unnested
 from helixframe.llm.store import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 MARKS = "#*$%&|<>{}[]\\^~=_@"
-BUCKETS = 4096
+#: buckets a unit of ln(key)
+BUCKETS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -32,91 +34,94 @@ def quality_weight(text: Column) -> Column:
     return F.lit(0.05) + share * share
 
 
-def exponential_key(ident: Column, weight: Column, salt: str = "mix") -> Column:
-    """-ln(u)/weight with u in (0, 1) from an MD5 of the identifier, so reruns agree."""
-    digest = F.md5(F.concat(F.lit(salt + ":"), F.coalesce(ident.cast("string"), F.lit(""))).cast("binary"))
+def exponential_key(ident: Column, text: Column, weight: Column, salt: str = "mix") -> Column:
+    """-ln(u)/weight with u in (0, 1) from an MD5 of the identifier (null: of the text), so reruns agree."""
+    name = F.coalesce(ident.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    digest = F.md5(F.concat(F.lit(salt + ":"), name).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
 
 def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...], epochs: int) -> DataFrame:
-    """``sizes`` (__src, __total), one row a source, gains ``__target``.
+    """``sizes`` (src, total), one row a source, gains ``target``.
 
     Targets are weight shares of ``share`` times all tokens, held at ``epochs`` times the
     source, the excess reshared by weight until none is above: sources in order of
     ``epochs * total / weight`` are full up to the first whose level stays below its cap.
     """
-    by_name = Window.orderBy(F.col("__src").asc_nulls_last())
-    by_level = Window.orderBy("__level", "__rank")
+    by_name = Window.orderBy(F.col("src").asc_nulls_last())
+    by_level = Window.orderBy("level", "rank")
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.withColumn("__rank", F.row_number().over(by_name) - 1).withColumn(
-        "__w", F.element_at(cycle, (F.pmod(F.col("__rank"), F.lit(len(weights))) + 1).cast("int"))
+    ranked = sizes.withColumn("rank", F.row_number().over(by_name) - 1).withColumn(
+        "w", F.element_at(cycle, (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
     )
-    ranked = ranked.withColumn("__cap", F.col("__total") * F.lit(float(epochs))).withColumn("__level", F.col("__cap") / F.col("__w"))
+    ranked = ranked.withColumn("cap", F.col("total") * F.lit(float(epochs))).withColumn("level", F.col("cap") / F.col("w"))
     ranked = (
-        ranked.withColumn("__want", F.sum("__total").over(every) * F.lit(float(share)))
-        .withColumn("__full", F.coalesce(F.sum("__cap").over(before), F.lit(0.0)))
-        .withColumn("__open", F.sum("__w").over(every) - F.coalesce(F.sum("__w").over(before), F.lit(0.0)))
-        .withColumn("__try", F.greatest(F.col("__want") - F.col("__full"), F.lit(0.0)) / F.col("__open"))
+        ranked.withColumn("want", F.sum("total").over(every) * F.lit(float(share)))
+        .withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
+        .withColumn("open", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+        .withColumn("try", F.greatest(F.col("want") - F.col("full"), F.lit(0.0)) / F.col("open"))
     )
-    level = F.min(F.when(F.col("__try") < F.col("__level"), F.struct("__level", "__rank", "__try"))).over(every)["__try"]
-    return ranked.withColumn("__cut", level).select(
-        "__src", "__total", F.when(F.col("__cut").isNull(), F.col("__cap")).otherwise(F.least(F.col("__cap"), F.col("__cut") * F.col("__w"))).alias("__target")
+    level = F.min(F.when(F.col("try") < F.col("level"), F.struct("level", "rank", "try"))).over(every)["try"]
+    return ranked.withColumn("cut", level).select(
+        "src", "total", F.when(F.col("cut").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("cut") * F.col("w"))).alias("target")
     )
 
 
 def _keyed(docs: DataFrame, text: str, ident: str, source: str, weight: Column | None) -> DataFrame:
-    w = quality_weight(F.col(text)) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-6))
+    """The caller's rows with src, id, size, key and bucket; ``weight`` is an expression over the caller's columns."""
+    rows = nested(docs) if weight is None else docs.select(F.struct("*").alias(ROW), weight.cast("double").alias("given"))
+    w = quality_weight(own(text)) if weight is None else F.greatest(F.coalesce(F.nanvl("given", F.lit(0.0)), F.lit(0.0)), F.lit(1e-6))
     return (
-        docs.withColumn("__src", F.col(source).cast("string"))
-        .withColumn("__id", F.col(ident).cast("string"))
-        .withColumn("__size", word_count(F.col(text)))
-        .withColumn("__key", exponential_key(F.col(ident), w))
-        .withColumn("__bucket", F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * BUCKETS).cast("int"))
+        rows.withColumn("src", own(source).cast("string"))
+        .withColumn("id", own(ident).cast("string"))
+        .withColumn("size", word_count(own(text)))
+        .withColumn("key", exponential_key(own(ident), own(text), w))
+        .withColumn("bucket", F.floor(F.log("key") * BUCKETS).cast("int"))
     )
 
 
 def _decided(keyed: DataFrame, plan: DataFrame) -> DataFrame:
-    at = F.struct("__key", "__id", "__size")
-    within = (F.col("__bucket") < F.col("__stop")) | ((F.col("__bucket") == F.col("__stop")) & F.coalesce(at <= F.col("__last"), F.lit(False)))
-    joined = keyed.join(plan.withColumnRenamed("__src", "__psrc"), F.col("__src").eqNullSafe(F.col("__psrc")), "left").drop("__psrc")
-    copies = F.coalesce(F.col("__epochs"), F.lit(0)) + F.when(F.coalesce(within, F.lit(False)), 1).otherwise(0)
-    return joined.withColumn("__copies", copies.cast("int"))
+    at = F.struct("key", "id", "size")
+    within = (F.col("bucket") < F.col("stop")) | ((F.col("bucket") == F.col("stop")) & F.coalesce(at <= F.col("last"), F.lit(False)))
+    joined = keyed.join(plan.withColumnRenamed("src", "plan_src"), F.col("src").eqNullSafe(F.col("plan_src")), "left").drop("plan_src")
+    copies = F.coalesce(F.col("epochs"), F.lit(0)) + F.when(F.coalesce(within, F.lit(False)), 1).otherwise(0)
+    return joined.withColumn("copies", copies.cast("int"))
 
 
 def mixing_plan(slim: DataFrame, share: float, weights: tuple[float, ...], epochs: int) -> DataFrame:
     """One row a source: total, target, whole epochs, and where the fractional epoch stops."""
-    sizes = slim.groupBy("__src").agg(F.sum("__size").alias("__total"))
-    budget = F.col("__target") - F.col("__epochs") * F.col("__total")
+    sizes = slim.groupBy("src").agg(F.sum("size").alias("total"))
+    budget = F.col("target") - F.col("epochs") * F.col("total")
     targets = source_targets(sizes, share, weights, epochs).withColumn(
-        "__epochs", F.when(F.col("__total") > 0, F.floor(F.col("__target") / F.col("__total"))).otherwise(0).cast("int")
+        "epochs", F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0).cast("int")
     )
-    targets = materialise(targets.withColumn("__budget", budget), "mix-targets")
-    before = Window.partitionBy("__bsrc").orderBy("__bbucket").rowsBetween(Window.unboundedPreceding, -1)
+    targets = materialise(targets.withColumn("budget", budget), "mix-targets")
+    before = Window.partitionBy("b_src").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
-        slim.groupBy(F.col("__src").alias("__bsrc"), F.col("__bucket").alias("__bbucket"))
-        .agg(F.sum("__size").alias("__bsize"))
-        .withColumn("__before", F.coalesce(F.sum("__bsize").over(before), F.lit(0)))
+        slim.groupBy(F.col("src").alias("b_src"), F.col("bucket").alias("b_bucket"))
+        .agg(F.sum("size").alias("b_size"))
+        .withColumn("before", F.coalesce(F.sum("b_size").over(before), F.lit(0)))
     )
     stops = (
-        targets.join(buckets, F.col("__src").eqNullSafe(F.col("__bsrc")))
-        .where((F.col("__before") <= F.col("__budget")) & (F.col("__budget") < F.col("__before") + F.col("__bsize")))
-        .select("__bsrc", F.col("__bbucket").alias("__stop"), "__before", "__budget")
+        targets.join(buckets, F.col("src").eqNullSafe(F.col("b_src")))
+        .where((F.col("before") <= F.col("budget")) & (F.col("budget") < F.col("before") + F.col("b_size")))
+        .select("b_src", F.col("b_bucket").alias("stop"), "before", "budget")
     )
     stops = materialise(stops, "mix-stops")
-    up_to = Window.partitionBy("__src").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = slim.join(stops, F.col("__src").eqNullSafe(F.col("__bsrc")) & (F.col("__bucket") == F.col("__stop")))
-    edge = edge.withColumn("__run", F.col("__before") + F.coalesce(F.sum("__size").over(up_to), F.lit(0)) + F.col("__size") / F.lit(2.0))
+    up_to = Window.partitionBy("src").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = slim.join(stops, F.col("src").eqNullSafe(F.col("b_src")) & (F.col("bucket") == F.col("stop")))
+    edge = edge.withColumn("run", F.col("before") + F.coalesce(F.sum("size").over(up_to), F.lit(0)) + F.col("size") / F.lit(2.0))
     last = (
-        edge.where(F.col("__run") <= F.col("__budget"))
-        .groupBy(F.col("__src").alias("__lsrc"))
-        .agg(F.max(F.struct("__key", "__id", "__size")).alias("__last"))
+        edge.where(F.col("run") <= F.col("budget"))
+        .groupBy(F.col("src").alias("l_src"))
+        .agg(F.max(F.struct("key", "id", "size")).alias("last"))
     )
-    plan = targets.join(stops.select("__bsrc", "__stop"), F.col("__src").eqNullSafe(F.col("__bsrc")), "left")
-    plan = plan.join(last, F.col("__src").eqNullSafe(F.col("__lsrc")), "left")
-    return materialise(plan.select("__src", "__total", "__target", "__epochs", "__stop", "__last"), "mix-plan")
+    plan = targets.join(stops.select("b_src", "stop"), F.col("src").eqNullSafe(F.col("b_src")), "left")
+    plan = plan.join(last, F.col("src").eqNullSafe(F.col("l_src")), "left")
+    return materialise(plan.select("src", "total", "target", "epochs", "stop", "last"), "mix-plan")
 
 
 def mix(
@@ -134,27 +139,28 @@ def mix(
     """The documents of the mix, each as often as it is taken (once with its count in
     ``copies`` if ``repeat`` is false).
 
-    Null texts have size 0; null sources are one source, last in order. Rows that agree in
-    identifier and size count as ties of one key and are taken together at the boundary.
-    An empty table gives an empty mix. Further columns stay as they are. No text is
+    Null texts have size 0; null sources are one source, last in order. Null identifiers draw by their
+    text. Rows that agree in identifier and size count as ties of one key and are taken together at the
+    boundary. Null, NaN or negative weights count as 1e-6. An empty table gives an empty mix. Further columns
+    stay as they are and may have any names (but ``copies`` with ``repeat`` false). No text is
     shuffled: the written per-source plan is small enough to be broadcast by its file size.
     """
     keyed = _keyed(docs, text, ident, source, weight)
-    slim = materialise(keyed.select("__src", "__id", "__size", "__key", "__bucket"), "mix-slim")
+    slim = materialise(keyed.select("src", "id", "size", "key", "bucket"), "mix-slim")
     out = _decided(keyed, mixing_plan(slim, share, weights, epochs))
     if repeat:
-        out = out.where("__copies > 0").withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__copies"))))
-        return out.select(*docs.columns)
-    return out.select(*docs.columns, F.col("__copies").alias("copies"))
+        out = out.where("copies > 0").withColumn("nth", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+        return unnested(out, docs.columns)
+    return unnested(out, docs.columns, more=[F.col("copies")])
 
 
 def mix_report(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), epochs: int = 2) -> DataFrame:
-    """Per document: doc_id, size, source_size, target of its source, and words taken."""
-    keyed = _keyed(docs, "text", "doc_id", "source", None)
-    slim = materialise(keyed.select("doc_id", "__src", "__id", "__size", "__key", "__bucket"), "mix-slim")
+    """Per document: doc_id, size, source_size, target of its source, and words taken; awkward rows as in ``mix``."""
+    keyed = _keyed(docs, "text", "doc_id", "source", None).withColumn("doc_id", own("doc_id"))
+    slim = materialise(keyed.select("doc_id", "src", "id", "size", "key", "bucket"), "mix-slim")
     out = _decided(slim, mixing_plan(slim, share, weights, epochs))
     return out.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken")
+        "doc_id", F.col("size").alias("size"), F.col("total").alias("source_size"), F.col("target").alias("target"), (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
 
 

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, words string, count string"
+#: names that operators use inside
+CLASHES = ["row", "hash", "id", "doc", "drop", "all", "kept", "host", "key", "src", "bucket", "copies", "nth", "shard", "slot", "rank", "lines", "n_words", "fp", "component", "h", "d", "s", "__t", "__size", "__drop", "__kept"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, words string, count string, " + ", ".join(f"{n} string" for n in CLASHES)
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
 
@@ -24,7 +26,7 @@ def rows():
     out += [(54, "é ü 漢字 🙂\x1c\x85 A b  c\n  two  spaces ", "fr", "é"), (55, "Apache License and the GNU General Public License; CC-BY 4.0, MIT License", "en", "s1")]
     out += [(56, prose(400, 7), "en", "s1"), (57, "spam " * 500, "en", "s1"), (58, "a" * 5000, "en", "s1")]
     out += [out[0], out[0], out[41]]
-    return [(i, t, lang, s, None if t is None else len(t), "1", None, "2") for i, t, lang, s in out]
+    return [(i, t, lang, s, None if t is None else len(t), "1", None, "2", *[f"{i}-{n}" if n < "m" else None for n in CLASHES]) for i, t, lang, s in out]
 
 
 @pytest.fixture(scope="session")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from helixframe.llm import line_dedup, media, mixing, packing, quality_lines, sharding, simhash
 from helixframe.llm import licenses as lic
@@ -50,10 +51,42 @@ def test_damaged_media_is_reported(spark):
     good = media.flac.encode_many([media.to_samples(bytes(range(64)) * 200)])[0]
     bad = bytearray(good)
     bad[-40] ^= 4
-    d = spark.createDataFrame([(1, bytes(bad)), (2, b"no stream"), (3, None), (4, good)], "media_id long, media binary")
-    got = {i: [r for r in media.pcm_blocks(d).collect() if r.media_id == i] for i in (1, 2, 3, 4)}
-    assert not all(r.verified for r in got[1]) and any(r.verified for r in got[1])
-    assert got[2][0].error and got[3][0].error and all(r.verified for r in got[4])
+    d = spark.createDataFrame([("a", bytes(bad)), ("b", b"no stream"), ("c", None), ("d", good), ("e", good[:42])], "media_id string, media binary")
+    got = {i: [r for r in media.pcm_blocks(d).collect() if r.media_id == i] for i in "abcde"}
+    assert not all(r.verified for r in got["a"]) and any(r.verified for r in got["a"])
+    assert got["b"][0].error and got["c"][0].error and all(r.verified for r in got["d"]) and [r.block for r in got["d"]] == [0, 1, 2, 3]
+
+
+def test_every_end_of_a_frame_is_tried():
+    """False headers inside a frame, more than ten, and a damaged frame among many good ones."""
+    flac = media.flac
+    head = flac._frame_header(1, 4096, 1, 8)
+    noise = np.frombuffer(head * 40 + bytes(np.random.default_rng(1).integers(0, 256, 3000, dtype=np.uint8)), np.uint8)
+    stream = flac.encode_many([media.to_samples(noise.tobytes())])[0]
+    (one,) = flac.decode_blocks([stream])
+    assert one[1].md5_ok and media.from_samples(one[3]) == noise.tobytes()
+    text = media.to_samples(("the quick brown fox " * 9000).encode())
+    bad = bytearray(flac.encode_many([text])[0])
+    bad[len(bad) // 2] ^= 1
+    found = list(flac.decode_blocks([bytes(bad)]))
+    assert sum(samples is None for *_, samples in found) == 1 and len(found) == -(-len(text) // flac.BLOCK) and not found[-1][1].md5_ok
+
+
+def test_long_media_takes_bounded_memory():
+    import tracemalloc
+
+    text = ("word and another, " * (1 << 18)).encode()
+    tracemalloc.start()
+    stream = media.flac.encode_many([media.to_samples(text)])[0]
+    coded = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    again = hashlib.md5()
+    for *_, samples in media.flac.decode_blocks([stream]):
+        again.update(media.from_samples(samples))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    fixed = 1 << 28
+    assert again.digest() == hashlib.md5(text).digest() and max(coded, peak) < fixed + 8 * len(text)
 
 
 def test_license_scan(docs, empty):
@@ -209,6 +242,40 @@ def test_line_quality(docs, empty):
     assert quality_lines.line_quality_report(empty).count() == 0
 
 
+def rules_by_brute_force(table, min_limit, copies):
+    """{(doc_id, text, host): (n_boilerplate_words, kept, text left)} by counting every line in every document."""
+    holders, hosts = defaultdict(set), Counter(h for _, _, h in table)
+    for i, t, h in table:
+        for line in (t or "").split("\n"):
+            if WORD.search(line):
+                holders[h, fold(line.strip(" \t\n\x0b\x0c\r"))].add(i if copies else t)
+    out = {}
+    for i, t, h in table:
+        w, lines = WORD.findall(t or ""), (t or "").split("\n")
+        above = [bool(WORD.search(x)) and len(holders[h, fold(x.strip(" \t\n\x0b\x0c\r"))]) > max(min_limit, 1e-4 * hosts[h]) for x in lines]
+        lost = sum(len(WORD.findall(x)) for x, a in zip(lines, above, strict=True) if a)
+        out[i, t, h] = (lost, len(w) >= 20 and lost <= 0.7 * len(w), "\n".join(x for x, a in zip(lines, above, strict=True) if not a))
+    return out
+
+
+def test_line_rules_by_brute_force(spark):
+    """Lines above the limits, depleted documents, copies above the limit, and a line that is frequent on one host alone."""
+    noise = [" ".join(f"w{i}x{j}" for j in range(25)) for i in range(60)]
+    menu, wide, copy = "Home | About", " ".join(f"b{j}" for j in range(70)), " ".join(f"c{j}" for j in range(40))
+    table = [(i, f"{menu}\n{noise[i]}\n  {menu.upper()} \nend {i}" + (f"\n{wide}" if i % 2 else ""), "h") for i in range(30)]
+    table += [(30 + i, f"{menu}\n{noise[30 + i]}", "g") for i in range(5)] + [(40 + i, copy, "h") for i in range(25)] + [(80, None, "h"), (81, "", None), (82, menu, None), (None, f"{noise[40]}\n{menu}", "h")]
+    d = spark.createDataFrame([*table, table[0]], "doc_id long, text string, source string")
+    for copies in (False, True):
+        want = rules_by_brute_force([*table, table[0]], 10, copies)
+        found = quality_lines.line_quality(d, min_limit=10, copies=copies).select(F.col("doc_id").alias("id"), "n_boilerplate_words", "kept")
+        got = {(r.id, r.text, r.source): (r.n_boilerplate_words, r.kept) for r in found.join(d.distinct(), F.col("id").eqNullSafe(F.col("doc_id"))).collect()}
+        assert got == {k: v[:2] for k, v in want.items()}
+        assert sum(not kept for _, kept, _ in want.values()) > 4 and sum(n > 0 for n, _, _ in want.values()) > 29
+        assert (not want[40, copy, "h"][1]) == copies
+        left = Counter((r.doc_id, r.text, r.source) for r in quality_lines.clean_documents(d, min_limit=10, copies=copies).collect())
+        assert left == Counter((i, want[i, t, h][2] if t else t, h) for i, t, h in [*table, table[0]] if want[i, t, h][1])
+
+
 def test_depleted_documents_are_rejected(spark):
     noise = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
     boiler = " ".join(f"b{j}" for j in range(100))
@@ -276,11 +343,24 @@ def test_line_dedup(docs, empty):
 
 
 def test_line_runs_are_compacted(spark):
-    runs = line_dedup.LineRuns(spark, limit=3, fanout=2)
+    schema = "h1 long, h2 long, doc long"
+    runs, known = line_dedup.LineRuns(spark, limit=3, fanout=2), set()
     for batch in range(5):
-        runs.add(spark.createDataFrame([(1, 1, batch), (2, batch, batch)], "__h1 long, __h2 long, __doc long"))
-    assert runs.frequent().count() == 1 and len(runs.levels) > 1
-    assert runs.unseen(spark.createDataFrame([(1, 1, 9), (7, 7, 9)], "__h1 long, __h2 long, __doc long")).count() == 1
+        own = [(1, 1, batch), (2, batch, batch), (2, batch, batch), (3, batch % 2, batch)]
+        assert {(r.h1, r.h2) for r in runs.unseen(spark.createDataFrame(own, schema)).collect()} == {x[:2] for x in own} - known
+        runs.add(spark.createDataFrame(own, schema))
+        known |= {x[:2] for x in own}
+    assert len(runs.levels) > 1 and all(len(level) < 2 for level in runs.levels)
+    assert sorted((r.h1, r.h2) for r in runs.frequent().collect()) == [(1, 1), (3, 0)]
+
+
+def test_runs_are_read_without_a_shuffle(spark):
+    runs = line_dedup.LineRuns(spark, limit=2)
+    keys = spark.range(1000).selectExpr("id % 300 as h1", "id % 7 as h2", "id as doc")
+    runs.add(keys)
+    batch = runs._written(keys.groupBy("h1", "h2").count().withColumnRenamed("count", "docs"))
+    plan = runs.unseen(batch)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and "SelectedBucketsCount" in plan
 
 
 def test_sharding(docs, empty):
