@@ -86,3 +86,17 @@ LETTER_BASES = 2 * (BASES * 7)[:26]
 def text_as_bases(text: Column) -> Column:
     """Letters become bases by a fixed table, blanks vanish, anything else is N."""
     return F.translate(F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), "[^A-Za-z]", "#"), LETTERS + "#", LETTER_BASES + "N")
+
+
+def letters_as_bases(text: Column) -> Column:
+    """Letters become bases by the same table; everything else vanishes, so a text is one run."""
+    return F.translate(F.regexp_replace(text, "[^A-Za-z]", ""), LETTERS, LETTER_BASES)
+
+
+def substituted(sequence: Column, first: int, step: int) -> Column:
+    """The base at ``first`` (from 0), and every ``step`` bases after it, becomes the next one in A, C, G, T, A."""
+    rest = F.substring(sequence, first + 1, 1 << 30)
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.length(rest) - 1, F.lit(step)), lambda at: F.concat(F.translate(F.substring(rest, at + 1, F.lit(1)), BASES, BASES[1:] + BASES[0]), F.substring(rest, at + 2, F.lit(step - 1)))
+    )
+    return F.when(F.length(rest) > 0, F.concat(F.left(sequence, F.lit(first)), F.array_join(pieces, ""))).otherwise(sequence)

@@ -1,6 +1,8 @@
 """Registered queries on the shared tables, each with its SQL where SQL can express it.
 
-Reads are the ``documents``, the assembly is ``benchmark``; letters become bases by a fixed table.
+Reads are the ``documents``, the assembly is ``benchmark``; letters become bases by a fixed table. The queries
+that search the graph take letters alone, so a passage is one contig, and an assembly with a substituted base
+every ``STEP`` bases, so that there are walks and variants to find. ``edge_missing`` takes reads cut into pieces of k bases, which support no edge.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from helixframe.sources import database, sequences
 from helixframe.streaming.ingest import ingest
 
 K = 21
+FIRST, STEP = 30, 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +35,16 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("header"), bases.text_as_bases(F.col("text")).alias("sequence"))
 
 
+def letter_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", bases.letters_as_bases(F.col("text")).alias("sequence"))
+
+
+def changed_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages with a substituted base every ``STEP`` bases."""
+    own = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("header"), bases.letters_as_bases(F.col("text")).alias("sequence"))
+    return own.select("header", bases.substituted(F.col("sequence"), FIRST, STEP).alias("sequence"))
+
+
 def _dbg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build(reads(spark, sf_dir), K)
 
@@ -97,7 +110,11 @@ def coverage_cutoff(s: SparkSession, d: str) -> DataFrame:
 
 
 def edge_missing(s: SparkSession, d: str) -> DataFrame:
-    return _track(s, d).where(evaluate.is_edge_missing()).select("path", "abs_pos", "cov")
+    own = reads(s, d)
+    cuts = F.transform(F.sequence(F.lit(0), F.length("sequence") - 1, F.lit(K)), lambda at: F.substring(F.col("sequence"), at + 1, F.lit(K)))
+    pieces = own.where("length(sequence) > 0").select(F.explode(cuts).alias("sequence"))
+    rows = evaluate.track(contigs(s, d), graph.build(pieces, K), K)
+    return rows.where(evaluate.is_edge_missing()).select("path", "abs_pos", "cov")
 
 
 def base_track(s: SparkSession, d: str) -> DataFrame:
@@ -179,8 +196,8 @@ def traversal_depth_2(s: SparkSession, d: str) -> DataFrame:
 
 
 def _extracted(s: SparkSession, d: str) -> DataFrame:
-    dbg = materialise(_dbg(s, d), "dbg")
-    return subgraph.extract(contigs(s, d), dbg, K)
+    dbg = materialise(graph.build(letter_reads(s, d), K), "dbg")
+    return subgraph.extract(changed_contigs(s, d), dbg, K)
 
 
 def best_first(s: SparkSession, d: str) -> DataFrame:
@@ -204,15 +221,15 @@ def graph_export(s: SparkSession, d: str) -> DataFrame:
 
 
 def _variants(s: SparkSession, d: str) -> DataFrame:
-    return variants.variants(contigs(s, d), materialise(_dbg(s, d), "dbg"), K)
+    return variants.variants(changed_contigs(s, d), materialise(graph.build(letter_reads(s, d), K), "dbg"), K)
 
 
 def variant_calls(s: SparkSession, d: str) -> DataFrame:
-    return variants.vcf_rows(_variants(s, d), contigs(s, d))
+    return variants.vcf_rows(_variants(s, d), changed_contigs(s, d))
 
 
 def variant_graph(s: SparkSession, d: str) -> DataFrame:
-    return variants.variant_graph(_variants(s, d), contigs(s, d))[1]
+    return variants.variant_graph(_variants(s, d), changed_contigs(s, d))[1]
 
 
 _NAMES = (
@@ -229,29 +246,42 @@ def _c(base: str) -> str:
     return f"translate({base}, 'ACGT', 'TGCA')"
 
 
-def _counts(where: str = "true") -> str:
-    """CTEs up to a graph of the documents that ``where`` selects."""
+def _counts(where: str = "true", encoding: str = _ENC, pieces: bool = False) -> str:
+    """CTEs up to a graph of the documents that ``where`` selects; ``pieces``: of their pieces of k characters."""
+    whole = f"SELECT {encoding} AS e FROM documents WHERE {where}"
+    if pieces:
+        whole = f"SELECT unnest(list_transform(generate_series(0, length(e) - 1, {K}), lambda i: substr(e, i + 1, {K}))) AS e FROM ({whole}) WHERE length(e) > 0"
     f, b = f"CASE WHEN kmer <= rc THEN r ELSE {_c('l')} END", f"CASE WHEN kmer <= rc THEN l ELSE {_c('r')} END"
     sums = ", ".join(f"count(*) FILTER (({e}) = '{x}') AS {n}{i}" for n, e in (("fw", f), ("bw", b)) for i, x in enumerate("ACGT"))
-    return f"""frag AS (SELECT unnest(string_split_regex({_ENC}, 'N+')) AS s FROM documents WHERE {where}),
+    return f"""frag AS (SELECT unnest(string_split_regex(e, 'N+')) AS s FROM ({whole})),
     place AS (SELECT s, unnest(generate_series(1, length(s) - {K} + 1)) AS p FROM frag WHERE length(s) >= {K}),
     win AS (SELECT substr(s, p, {K}) AS kmer, reverse({_c(f'substr(s, p, {K})')}) AS rc, CASE WHEN p > 1 THEN substr(s, p - 1, 1) END AS l, nullif(substr(s, p + {K}, 1), '') AS r FROM place),
-    dbg AS (SELECT least(kmer, rc) AS key, count(*) AS cov, {sums} FROM win GROUP BY 1)"""
+    dbg AS MATERIALIZED (SELECT least(kmer, rc) AS key, count(*) AS cov, {sums} FROM win GROUP BY 1)"""
+
 
+_LETTERS = f"translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{bases.LETTERS}', '{bases.LETTER_BASES}')"
+_CHANGED = f"""substr(e, 1, {FIRST}) || array_to_string(list_transform(generate_series({FIRST}, length(e) - 1, {STEP}), lambda i: translate(substr(e, i + 1, 1), 'ACGT', 'CGTA') || substr(e, i + 2, {STEP - 1})), '')"""
 
-_RUNS = f"""runs AS (SELECT path, i, run, coalesce(sum(length(run) + 1) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS abs_start
-      FROM (SELECT item_id::VARCHAR AS path, generate_subscripts(x, 1) AS i, unnest(x) AS run FROM (SELECT item_id, string_split({_ENC}, 'N') AS x FROM benchmark))),
+
+def _runs(encoded: str) -> str:
+    """CTE ``segs``: the segments of the assembly ``encoded`` (path, e)."""
+    return f"""runs AS (SELECT path, i, run, coalesce(sum(length(run) + 1) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS abs_start
+      FROM (SELECT path, generate_subscripts(x, 1) AS i, unnest(x) AS run FROM (SELECT path, string_split(e, 'N') AS x FROM ({encoded})))),
     segs AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS segment_id, abs_start, run AS seq, length(run)::BIGINT AS length FROM runs WHERE length(run) > 0)"""
+
+
+_RUNS = _runs(f"SELECT item_id::VARCHAR AS path, {_ENC} AS e FROM benchmark")
+_CHANGED_RUNS = _runs(f"SELECT path, {_CHANGED} AS e FROM (SELECT item_id::VARCHAR AS path, {_LETTERS} AS e FROM benchmark)")
 _EDGE = {
     "right": [f"WHEN kmer <= rc AND r = '{x}' THEN fw{i}" for i, x in enumerate("ACGT")] + [f"WHEN kmer > rc AND r = '{x}' THEN bw{3 - i}" for i, x in enumerate("ACGT")],
     "left": [f"WHEN kmer <= rc AND l = '{x}' THEN bw{i}" for i, x in enumerate("ACGT")] + [f"WHEN kmer > rc AND l = '{x}' THEN fw{3 - i}" for i, x in enumerate("ACGT")],
 }
 
 
-def _trk(whole: bool = False) -> str:
+def _trk(whole: bool = False, pieces: bool = False) -> str:
     """CTEs up to the track ``t`` of the assembly."""
     last = "length" if whole else f"length - {K} + 1"
-    return f"""{_counts()}, {_RUNS},
+    return f"""{_counts(pieces=pieces)}, {_RUNS},
     spots AS (SELECT *, unnest(generate_series(1, {last})) AS p FROM segs WHERE length >= {K}),
     awin AS (SELECT path, segment_id, abs_start, (p - 1)::BIGINT AS pos, (abs_start + p - 1)::BIGINT AS abs_pos, length - {K} + 1 AS kcount, CASE WHEN p <= length - {K} + 1 THEN substr(seq, p, {K}) END AS kmer,
       CASE WHEN p > 1 THEN substr(seq, p - 1, 1) END AS l, nullif(substr(seq, p + {K}, 1), '') AS r FROM spots),
@@ -286,14 +316,20 @@ _GAPS = f"""comps AS (SELECT path, kind, min(spot) AS abs_start, count(*)::BIGIN
         SELECT path, spot, CASE WHEN substr(e, spot + 1, 1) = 'N' THEN 'GAP' ELSE 'SEGMENT' END AS kind FROM (
           SELECT path, e, unnest(generate_series(0, length(e) - 1)) AS spot FROM (SELECT item_id::VARCHAR AS path, {_ENC} AS e FROM benchmark))))
     GROUP BY path, kind, g)"""
-_SEEDS = f"""{_counts()}, {_RUNS},
+def _seeds(before: str) -> str:
+    """CTEs up to the nodes ``seeds`` of the assembly, after those of ``segs`` and ``dbg``."""
+    return f"""{before},
     spots AS (SELECT *, unnest(generate_series(1, length - {K} + 1)) AS p FROM segs WHERE length >= {K}),
     aw AS (SELECT path, segment_id, p, substr(seq, p, {K}) AS kmer, reverse({_c(f'substr(seq, p, {K})')}) AS rc, CASE WHEN p > 1 THEN substr(seq, p - 1, 1) END AS l, nullif(substr(seq, p + {K}, 1), '') AS r FROM spots),
     firsts AS (SELECT path, segment_id, least(kmer, rc) AS key, arg_min(coalesce(CASE WHEN kmer <= rc THEN r ELSE {_c('l')} END, '-'), p) AS f, arg_min(coalesce(CASE WHEN kmer <= rc THEN l ELSE {_c('r')} END, '-'), p) AS b FROM aw GROUP BY ALL),
-    seeds AS (SELECT firsts.key, sum(coalesce(cov, 1))::BIGINT AS cov, {', '.join(f"sum(CASE WHEN cov IS NULL THEN ({x} = '{y}')::INT ELSE {n}{i} END)::BIGINT AS {n}{i}" for n, x in (('fw', 'f'), ('bw', 'b')) for i, y in enumerate('ACGT'))},
+    seeds AS MATERIALIZED (SELECT firsts.key, sum(coalesce(cov, 1))::BIGINT AS cov, {', '.join(f"sum(CASE WHEN cov IS NULL THEN ({x} = '{y}')::INT ELSE {n}{i} END)::BIGINT AS {n}{i}" for n, x in (('fw', 'f'), ('bw', 'b')) for i, y in enumerate('ACGT'))},
       max(CASE WHEN cov IS NULL THEN 2 ELSE 1 END)::INT AS colour FROM firsts LEFT JOIN dbg USING (key) GROUP BY firsts.key)"""
 
 
+_SEEDS = _seeds(f"{_counts()}, {_RUNS}")
+_NEAR = _seeds(f"{_counts(encoding=_LETTERS)}, {_CHANGED_RUNS}")
+
+
 def _nexts(source: str) -> str:
     """(key, edge, weight, next, next_key) of every edge of ``source``."""
     parts = []
@@ -303,10 +339,83 @@ def _nexts(source: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-_PRUNED = f"""{_SEEDS}, steps AS ({_nexts('seeds')}), there AS (SELECT * FROM steps WHERE next_key IN (SELECT key FROM seeds)),
+def _pruned(nodes: str) -> str:
+    """CTEs up to ``pruned``: ``nodes`` without edges to absent nodes."""
+    return f"""steps AS ({_nexts(nodes)}), there AS (SELECT * FROM steps WHERE next_key IN (SELECT key FROM {nodes})),
     sums AS (SELECT key, {', '.join(f"max(weight) FILTER (edge = '{c}') AS {c}" for c in graph.EDGES)} FROM there GROUP BY key),
-    pruned AS (SELECT s.key, s.cov, {', '.join(f"coalesce(u.{c}, 0) AS {c}" for c in graph.EDGES)}, s.colour FROM seeds s LEFT JOIN sums u ON s.key = u.key)"""
+    pruned AS MATERIALIZED (SELECT s.key, s.cov, {', '.join(f"coalesce(u.{c}, 0) AS {c}" for c in graph.EDGES)}, s.colour FROM {nodes} s LEFT JOIN sums u ON s.key = u.key)"""
+
+
+def _rc(kmer: str) -> str:
+    return f"reverse({_c(kmer)})"
+
+
+def _onward(oriented: str = "o") -> str:
+    """Rows of (base, count) by which an oriented k-mer of node ``key`` goes on."""
+    options = ", ".join(f"{{'base': '{x}', 'n': CASE WHEN {oriented} = key THEN fw{i} ELSE bw{3 - i} END}}" for i, x in enumerate("ACGT"))
+    return f"unnest(list_filter([{options}], lambda x: x.n > 0))"
+
+
+_PRUNED = f"{_SEEDS}, {_pruned('seeds')}"
 _COUNTS = ", ".join(graph.COUNTS)
+# walks of new nodes that leave a seed, by hops; those that come back are the reverse complements of others
+_FOUND = f"""{_NEAR}, leaving AS (SELECT DISTINCT substr(o, 2) || s.base AS o FROM (SELECT o, {_onward()} AS s FROM (SELECT *, unnest([key, {_rc('key')}]) AS o FROM seeds))),
+    walk AS (SELECT l.o, d.key, 1 AS hop FROM leaving l JOIN dbg d ON d.key = least(l.o, {_rc('l.o')}) ANTI JOIN seeds ON seeds.key = d.key
+      UNION SELECT n.o, d.key, n.hop FROM (SELECT substr(o, 2) || s.base AS o, hop + 1 AS hop FROM (SELECT w.o, w.hop, {_onward('w.o').replace('= key', '= g.key').replace('fw', 'g.fw').replace('bw', 'g.bw')} AS s FROM walk w JOIN dbg g ON g.key = w.key WHERE w.hop < {K})) n
+      JOIN dbg d ON d.key = least(n.o, {_rc('n.o')}) ANTI JOIN seeds ON seeds.key = d.key),
+    seen AS MATERIALIZED (SELECT o, key, min(hop) AS hop FROM walk GROUP BY ALL),
+    nodes AS MATERIALIZED (SELECT key, {_COUNTS}, colour FROM seeds UNION ALL SELECT key, {_COUNTS}, 0 FROM dbg
+      WHERE key IN (SELECT s.key FROM seen s JOIN seen b ON s.o = {_rc('b.o')} WHERE s.hop + b.hop - 1 <= {K})),
+    {_pruned('nodes')}"""
+_FLIP = "CASE WHEN {} = '+' THEN '-' ELSE '+' END"
+_UNITIGS = f"""{_FOUND}, strands AS MATERIALIZED (SELECT *, unnest([key, {_rc('key')}]) AS o FROM pruned),
+    links AS MATERIALIZED (SELECT o AS a, substr(o, 2) || s.base AS b, s.n AS count FROM (SELECT o, {_onward()} AS s FROM strands)),
+    inward AS MATERIALIZED (SELECT x.a, x.b FROM (SELECT a, any_value(b) AS b FROM links GROUP BY a HAVING count(*) = 1) x JOIN (SELECT b FROM links GROUP BY b HAVING count(*) = 1) y ON x.b = y.b WHERE x.b <> {_rc('x.a')}),
+    path AS (SELECT o AS head, o AS node, 0 AS nth FROM strands ANTI JOIN inward ON inward.b = strands.o UNION ALL SELECT head, b, nth + 1 FROM path JOIN inward ON inward.a = path.node),
+    joined AS (SELECT head, arg_max(node, nth) AS tail, count(*) AS n_kmers, avg(cov) AS depth, max(colour) AS colour, head || coalesce(string_agg(right(node, 1), '' ORDER BY nth) FILTER (nth > 0), '') AS sequence
+      FROM path JOIN strands ON strands.o = path.node GROUP BY head),
+    paths AS MATERIALIZED (SELECT *, least(sequence, {_rc('sequence')}) AS name, CASE WHEN sequence <= {_rc('sequence')} THEN '+' ELSE '-' END AS strand FROM joined),
+    segments AS (SELECT name, sequence, n_kmers, round(depth, 6) AS depth, CASE colour WHEN 0 THEN 'gray' WHEN 1 THEN 'blue' ELSE 'red' END AS colour FROM paths WHERE strand = '+'),
+    between_ AS (SELECT e.name AS s, e.strand AS x, f.name AS t, f.strand AS y, count FROM links JOIN paths e ON links.a = e.tail JOIN paths f ON links.b = f.head),
+    turned AS (SELECT *, {_FLIP.format('y')} AS tx, {_FLIP.format('x')} AS ty FROM between_),
+    canon AS (SELECT CASE WHEN (s, x, t, y) <= (t, tx, s, ty) THEN {{'s': s, 'x': x, 't': t, 'y': y}} ELSE {{'s': t, 'x': tx, 't': s, 'y': ty}} END AS e, count FROM turned),
+    ends AS MATERIALIZED (SELECT e.s AS source, e.x AS source_strand, e.t AS target, e.y AS target_strand, max(count) AS count FROM canon GROUP BY ALL)"""
+_SIDES = f"""{_UNITIGS}, one AS (SELECT source AS name, CASE WHEN source_strand = '+' THEN 'R' ELSE 'L' END AS side, target AS other, CASE WHEN target_strand = '+' THEN 'L' ELSE 'R' END AS other_side FROM ends),
+    sides AS MATERIALIZED (SELECT * FROM one UNION SELECT other, other_side, name, side FROM one),
+    reach AS (SELECT name, name AS other FROM segments UNION SELECT r.name, s.other FROM reach r JOIN sides s ON s.name = r.other),
+    parts AS (SELECT min_name, sum(length(name)) AS size FROM (SELECT name, min(other) AS min_name FROM reach GROUP BY name) GROUP BY min_name),
+    degree AS (SELECT name, side, count(*) AS n FROM sides GROUP BY ALL),
+    single AS (SELECT name FROM degree WHERE n = 1 GROUP BY name HAVING count(*) = 2),
+    arms AS (SELECT least(l.other || chr(1) || l.other_side, r.other || chr(1) || r.other_side) AS a, greatest(l.other || chr(1) || l.other_side, r.other || chr(1) || r.other_side) AS b
+      FROM sides l JOIN sides r ON l.name = r.name AND l.side = 'L' AND r.side = 'R' WHERE l.name IN (SELECT name FROM single)),
+    forks AS (SELECT a, b FROM arms WHERE a <> b GROUP BY a, b HAVING count(*) >= 2),
+    across AS (SELECT name || chr(1) || CASE WHEN side = 'R' THEN 'L' ELSE 'R' END AS z FROM degree),
+    sizes AS (SELECT count(*) AS segments, sum(length(sequence))::BIGINT AS total_length FROM segments),
+    lines AS (SELECT count(*) AS edges, count(*) FILTER (source = target AND source_strand = target_strand) AS circular FROM ends)"""
+# alternate walks of an assembly window: (hop, bases) orders those that reach one k-mer; a walk ends where it meets the assembly again
+_SPOT = "path, segment_id, pos"
+_WALKS = f"""{_counts(encoding=_LETTERS)}, {_CHANGED_RUNS},
+    spots AS (SELECT *, unnest(generate_series(0, length - {K})) AS pos FROM segs WHERE length >= {K}),
+    ref AS MATERIALIZED (SELECT path, segment_id, abs_start, pos, seq, length - {K} + 1 AS kcount, substr(seq, pos + 1, {K}) AS o, least(substr(seq, pos + 1, {K}), {_rc(f'substr(seq, pos + 1, {K})')}) AS key FROM spots),
+    start AS (SELECT r.{_SPOT.replace(', ', ', r.')}, r.abs_start, r.o, r.key AS own, nxt.key AS ref_key FROM ref r JOIN ref nxt ON nxt.path = r.path AND nxt.segment_id = r.segment_id AND nxt.pos = r.pos + 1 WHERE r.pos + {K} + 1 < r.kcount),
+    stepped AS (SELECT {_SPOT}, abs_start, own, ref_key, substr(o, 2) || s.base AS o, s.base AS bases FROM (SELECT start.*, {_onward()} AS s FROM start JOIN dbg ON dbg.key = start.own)),
+    walk AS (SELECT z.*, 1 AS hop, t.pos AS t_pos FROM (SELECT *, least(o, {_rc('o')}) AS next_key FROM stepped) z
+        LEFT JOIN ref t ON t.path = z.path AND t.segment_id = z.segment_id AND t.key = z.next_key AND t.pos > z.pos + {K} AND t.pos <= z.pos + {K + 5} WHERE next_key <> ref_key AND next_key <> own
+      UNION SELECT z.*, t.pos FROM (SELECT {_SPOT}, abs_start, own, ref_key, substr(o, 2) || s.base AS o, bases || s.base AS bases, least(substr(o, 2) || s.base, {_rc('(substr(o, 2) || s.base)')}) AS next_key, hop
+        FROM (SELECT w.{_SPOT.replace(', ', ', w.')}, w.abs_start, w.own, w.ref_key, w.o, w.bases, w.hop + 1 AS hop, {_onward('w.o')} AS s FROM walk w JOIN dbg ON dbg.key = w.next_key WHERE w.t_pos IS NULL AND w.hop < {K + 1})) z
+        LEFT JOIN ref t ON t.path = z.path AND t.segment_id = z.segment_id AND t.key = z.next_key AND t.pos > z.pos + {K} AND t.pos <= z.pos + {K + 5} WHERE next_key <> ref_key AND next_key <> own),
+    firsts AS (SELECT {_SPOT}, abs_start, next_key, min((hop, bases)) AS m FROM walk GROUP BY ALL),
+    hits AS (SELECT w.{_SPOT.replace(', ', ', w.')}, w.abs_start, w.bases, min(w.t_pos) AS t_pos FROM walk w JOIN firsts f ON w.path = f.path AND w.segment_id = f.segment_id AND w.pos = f.pos AND w.next_key = f.next_key AND (w.hop, w.bases) = f.m
+      WHERE w.t_pos IS NOT NULL GROUP BY w.{_SPOT.replace(', ', ', w.')}, w.abs_start, w.bases, w.next_key),
+    shaped AS (SELECT h.*, (h.t_pos - h.pos - {K} - 1)::INT AS t, length(h.bases) - 1 AS inner_, ref.o || h.bases AS whole, ref.seq FROM hits h JOIN ref ON ref.path = h.path AND ref.segment_id = h.segment_id AND ref.pos = h.pos),
+    calls AS MATERIALIZED (SELECT path, segment_id, (pos + {K})::BIGINT AS pos, abs_start, seq, CASE WHEN t > 0 THEN 'COM' WHEN inner_ = {K} THEN 'SNV' WHEN inner_ > {K} THEN 'DEL' ELSE 'INS' END AS type, CASE WHEN t > 0 THEN t + 1 ELSE 1 END AS ref_len,
+      CASE WHEN t > 0 THEN substr(whole, inner_ - t + 1, t + 1) WHEN inner_ = {K} THEN left(bases, 1) WHEN inner_ > {K} THEN left(bases, inner_ - {K}) ELSE '' END AS alt FROM shaped)"""
+_GRAPHED = f"""{_WALKS}, sites AS (SELECT DISTINCT path, segment_id, pos AS start, pos + CASE WHEN type = 'DEL' THEN 0 ELSE ref_len END AS stop, alt FROM calls),
+    apart AS (SELECT *, max(stop) OVER (PARTITION BY path, segment_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT path, segment_id, start, stop FROM sites)),
+    spans AS (SELECT *, row_number() OVER (PARTITION BY path, segment_id ORDER BY start, stop) - 1 AS site, path || '.' || segment_id AS name FROM apart WHERE before IS NULL OR start >= before),
+    alts AS (SELECT spans.name, site, alt, row_number() OVER (PARTITION BY spans.path, spans.segment_id, site ORDER BY alt) AS a FROM spans JOIN sites USING (path, segment_id, start, stop)),
+    middle AS (SELECT name, site, CASE WHEN stop > start THEN name || '.r.' || site END AS m FROM spans UNION ALL SELECT name, site, CASE WHEN alt <> '' THEN name || '.a.' || site || '.' || a END FROM alts),
+    joins AS (SELECT name || '.p.' || site AS u, m, name || '.p.' || (site + 1) AS w FROM middle)"""
 ORACLES: dict[str, str] = {
     "kmer_count": f"WITH {_counts()} SELECT * FROM dbg",
     "kmer_histogram": f"WITH {_counts()} SELECT cov, count(*) AS n_kmers FROM dbg GROUP BY cov",
@@ -320,7 +429,7 @@ ORACLES: dict[str, str] = {
     "validate_qv": _qv(0),
     "coverage_cutoff": _qv(3),
     "validate_by_segment": f"""WITH {_trk()} SELECT path, segment_id, count(*) AS total, count(*) FILTER (cov = 0) AS missing, count(*) FILTER (cov > 0 AND pos > 0 AND pos < kcount - 1 AND "left" = 0 AND "right" = 0) AS edge_missing FROM t GROUP BY ALL""",
-    "edge_missing": f"""WITH {_trk()} SELECT path, abs_pos, cov FROM t WHERE cov > 0 AND pos > 0 AND pos < kcount - 1 AND "left" = 0 AND "right" = 0""",
+    "edge_missing": f"""WITH {_trk(pieces=True)} SELECT path, abs_pos, cov FROM t WHERE cov > 0 AND pos > 0 AND pos < kcount - 1 AND "left" = 0 AND "right" = 0""",
     "base_track": f"""WITH {_trk(True)} SELECT path, segment_id, pos, abs_pos, cov, "right", "left" FROM t""",
     "anomalies": f"""WITH {_trk()} SELECT path, segment_id, abs_pos + {K} AS position FROM t WHERE cov = 0 OR (pos < kcount - 1 AND "right" = 0)""",
     "support_ahead": f"""WITH {_trk()} SELECT path, abs_pos, coalesce(sum(CASE WHEN cov > 0 THEN 1 ELSE -1 END) OVER (PARTITION BY path, segment_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND {K} FOLLOWING), 0)::BIGINT AS score FROM t""",
@@ -346,7 +455,18 @@ ORACLES: dict[str, str] = {
     "subgraph_summary": f"""WITH {_PRUNED} SELECT sum(cov)::BIGINT AS total, count(*) FILTER (cov = 1) AS "unique", count(*) AS "distinct", {4**K} - count(*) AS missing, sum({_EDGE_SUM})::BIGINT AS edges FROM pruned""",
     "export_edges": f"""WITH {_PRUNED}, e AS ({_nexts('pruned')}) SELECT key AS source, CASE WHEN edge LIKE 'fw%' THEN '+' ELSE '-' END AS source_strand, next_key AS target,
       CASE WHEN (edge LIKE 'fw%') = (nx = next_key) THEN '+' ELSE '-' END AS target_strand, weight AS count FROM e""",
-    "traversal_depth_2": f"""WITH {_SEEDS}, s1 AS ({_nexts('seeds')}), r1 AS (SELECT dbg.*, 0 AS colour FROM dbg WHERE key IN (SELECT next_key FROM s1) AND key NOT IN (SELECT key FROM seeds)),
-      s2 AS ({_nexts('r1')}), r2 AS (SELECT dbg.*, 0 AS colour FROM dbg WHERE key IN (SELECT next_key FROM s2) AND key NOT IN (SELECT key FROM seeds) AND key NOT IN (SELECT key FROM r1))
+    "traversal_depth_2": f"""WITH {_SEEDS}, r1 AS MATERIALIZED (SELECT dbg.*, 0 AS colour FROM dbg WHERE key IN (SELECT next_key FROM ({_nexts('seeds')})) AND key NOT IN (SELECT key FROM seeds)),
+      r2 AS (SELECT dbg.*, 0 AS colour FROM dbg WHERE key IN (SELECT next_key FROM ({_nexts('r1')})) AND key NOT IN (SELECT key FROM seeds UNION ALL SELECT key FROM r1))
       SELECT key, {_COUNTS}, colour FROM seeds UNION ALL SELECT key, {_COUNTS}, colour FROM r1 UNION ALL SELECT key, {_COUNTS}, colour FROM r2""",
+    "best_first": f"WITH RECURSIVE {_FOUND} SELECT * FROM pruned",
+    "unitig_segments": f"WITH RECURSIVE {_UNITIGS} SELECT * FROM segments",
+    "unitig_edges": f"WITH RECURSIVE {_UNITIGS} SELECT * FROM ends",
+    "unitig_summary": f"""WITH RECURSIVE {_SIDES} SELECT segments, total_length, total_length / segments AS average_length, edges, edges / segments AS average_degree, (SELECT count(*) FROM parts) AS components,
+      (SELECT max(size) FROM parts)::BIGINT AS largest_component, (2 * segments - (SELECT count(*) FROM degree))::BIGINT AS dead_ends, (SELECT count(*) FROM forks WHERE a IN (SELECT z FROM across) OR b IN (SELECT z FROM across)) AS bubbles, circular FROM sizes, lines""",
+    "graph_export": f"""WITH RECURSIVE {_UNITIGS} SELECT 0 AS part, 'H' || chr(9) || 'VN:Z:1.2' AS line UNION ALL SELECT 1, concat_ws(chr(9), 'S', name, sequence, 'DP:f:' || depth, 'CB:Z:' || colour) FROM segments
+      UNION ALL SELECT 2, concat_ws(chr(9), 'L', source, source_strand, target, target_strand, '{K - 1}M', 'KC:i:' || count) FROM ends""",
+    "variant_calls": f"""WITH RECURSIVE {_WALKS} SELECT path AS chrom, abs_start + pos + CASE WHEN type IN ('INS', 'DEL') THEN 0 ELSE 1 END AS pos, CASE WHEN type IN ('INS', 'DEL') THEN substr(seq, pos, 2) ELSE substr(seq, pos + 1, ref_len) END AS ref,
+      CASE type WHEN 'INS' THEN substr(seq, pos, 1) WHEN 'DEL' THEN substr(seq, pos, 1) || alt || substr(seq, pos + 1, 1) ELSE alt END AS alt, type FROM calls""",
+    "variant_graph": f"""WITH RECURSIVE {_GRAPHED} SELECT DISTINCT source, '+' AS source_strand, target, '+' AS target_strand, '0M' AS overlap FROM (
+      SELECT u AS source, w AS target FROM joins WHERE m IS NULL UNION ALL SELECT u, m FROM joins WHERE m IS NOT NULL UNION ALL SELECT m, w FROM joins WHERE m IS NOT NULL)""",
 }
