@@ -11,29 +11,43 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.nested import identifier
+
 MIN_MATCH, MIN_COVER = 4, 0.5
 PHRASES = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
-#: Short notices by which works name their licence. Each template is a list of word runs.
-TEMPLATES: dict[str, list[str]] = {
-    "gpl-notice": ["this program is free software you can", "redistribute it and or modify it under", "the terms of the gnu general public", "license as published by the free", "software foundation"],
-    "gpl-work": ["this work is licensed under the gnu", "general public license version 3"],
-    "apache-notice": ["licensed under the apache license", "version 2 0 the license you may not", "use this file except in compliance", "with the license"],
-    "apache-short": ["licensed under the apache license", "version 2 0"],
-    "bsd-notice": ["redistribution and use in source and", "binary forms with or without", "modification are permitted provided", "that the following conditions are met"],
-    "cc-by-notice": ["this work is licensed under a creative", "commons attribution 4 0 international", "license"],
-    "cc-by-nc-short": ["licensed under cc by nc 4 0"],
-    "mit-short": ["released under the mit license"],
-    "mpl-notice": ["this source code form is subject to the", "terms of the mozilla public license", "v 2 0"],
-    "isc-notice": ["permission to use copy modify and or", "distribute this software for any", "purpose with or without fee"],
-    "unlicense": ["this is free and unencumbered software", "released into the public domain"],
-    "proprietary": ["all rights reserved"],
+#: Short notices by which works name their licence.
+NOTICES: dict[str, str] = {
+    "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "apache-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
+    "apache-short": "Licensed under the Apache License, Version 2.0",
+    "bsd-short": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+    "cc-by-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-short": "Licensed under CC BY-NC 4.0",
+    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "gpl-work": "This work is licensed under the GNU General Public License version 3",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "mit-short": "Released under the MIT license",
+    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "proprietary": "All rights reserved",
 }
+
+
+@lru_cache(maxsize=1)
+def default_templates() -> dict[str, str]:
+    """The notices, and the whole licence texts of the folder ``licence_texts`` by their lower-case names."""
+    texts = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    return NOTICES | {t.stem.lower(): t.read_text() for t in texts}
+
+
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32) for b in range(256))
 
 
@@ -148,8 +162,8 @@ def chain(seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 class Scanner:
     """Phrases and template spans of texts."""
 
-    def __init__(self, templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None, min_match: int = MIN_MATCH) -> None:
-        self.templates = {k: " ".join(v).encode().split() for k, v in (TEMPLATES if templates is None else templates).items()}
+    def __init__(self, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, min_match: int = MIN_MATCH) -> None:
+        self.templates = {k: words_of(v.encode()) for k, v in (default_templates() if templates is None else templates).items()}
         self.labels, self.min_match = list(self.templates), min_match
         self.phrases = {k: v.encode().split() for k, v in (PHRASES if phrases is None else phrases).items()}
         vocabulary: dict[bytes, int] = {}
@@ -212,35 +226,45 @@ class Scanner:
                 length = size[state]
 
 
-def license_scan(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", min_match: int = MIN_MATCH, min_cover: float = MIN_COVER, templates: dict[str, list[str]] | None = None) -> DataFrame:
+@lru_cache(maxsize=4)
+def _scanner(templates: tuple[tuple[str, str], ...], min_match: int) -> Scanner:
+    """One automaton a worker process."""
+    return Scanner(dict(templates), min_match=min_match)
+
+
+def license_scan(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", min_match: int = MIN_MATCH, min_cover: float = MIN_COVER, templates: dict[str, str] | None = None) -> DataFrame:
     """Per document the base phrases, the labels of covered templates, the covered spans and a score.
 
     A template labels a text when a chain of matches of ``min_match`` words or more (or of the whole template
     where that is shorter) covers ``min_cover`` of it. The score is the largest covered
     share, and 1 where a base phrase stands. Null or empty texts have no words and score 0.
-    Repeated rows give repeated results; null identifiers stay null; empty tables give none.
+    Repeated rows give repeated results; identifiers keep their type, nulls too; further columns are not
+    carried; empty tables give none. ``templates``: label to text, by default ``default_templates``.
     """
-    kinds = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    kind, arrow_kind = identifier(docs, ident)
+    given = default_templates() if templates is None else templates
+    kinds = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     spans = "array<struct<label:string,text_word:long,template_word:long,words:long>>"
     item = pa.struct([("label", pa.string()), ("text_word", pa.int64()), ("template_word", pa.int64()), ("words", pa.int64())])
-    arrow = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.list_(item)]
+    arrow = [arrow_kind] + [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(item)]
     names = [k.split()[0] for k in kinds.split(", ")] + ["spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, min_match=min_match)
+        scanner = _scanner(tuple(given.items()), min_match)
         for batch in batches:
             rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            for t in batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary()):
                 s = scanner.scan(t.as_py() or b"")
                 own = [k for k, v in s.covered.items() if v >= min_cover]
                 score = max([1.0 if s.n_base else 0.0, *s.covered.values()])
                 labels = ",".join(sorted({*s.base, *own}))
-                rows.append((i, s.n_words, s.n_base, s.first, s.last, ",".join(s.base), labels, score, [dict(zip(("label", "text_word", "template_word", "words"), x, strict=True)) for x in s.spans]))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, arrow, strict=True)], names=names)
+                rows.append((s.n_words, s.n_base, s.first, s.last, ",".join(s.base), labels, score, [dict(zip(("label", "text_word", "template_word", "words"), x, strict=True)) for x in s.spans]))
+            columns = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, arrow[1:], strict=True))], names=names)
 
-    return docs.select(F.col(ident).cast("long"), F.col(text)).mapInArrow(run, f"{kinds}, spans {spans}")
+    return docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"{kinds}, spans {spans}")
 
 
 def license_report(docs: DataFrame) -> DataFrame:
+    """The scan of every row without its spans; awkward rows as in ``license_scan``."""
     return license_scan(docs).drop("spans")
