@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.nested import identifier
 from helixframe.llm.ranks import spread_rank
 from helixframe.llm.store import materialise
 from helixframe.llm.tokens import Encoder
 
 WINDOW, GRID, END_ID = 2048, 16, 1
+#: candidates of the least squares: all pairs, and the triples of the largest possible repeats. Fewer cost padding at most: what
+#: no candidate takes is packed by the greedy rest
 COMBINATIONS, SWEEPS = 20_000, 12
 PLAN_COLUMNS = "p_length long, p_low long, p_high long, p_start long, p_take long, p_sequence long, p_each long, p_offset long"
 
@@ -49,23 +52,28 @@ def document_pieces(packed: bytes, window: int, grid: int) -> list[tuple[int, in
 
 
 def tokenised(docs: DataFrame, text: str, ident: str, window: int, grid: int, vocabulary: str | None, with_ids: bool) -> DataFrame:
-    schema = "doc_id long, start long, length long, crc long, sums binary, doc_tokens long" + (", ids binary" if with_ids else "")
+    """(doc_id, start, length, crc, sums, doc_tokens, text_hash): the window-sized pieces of every document's ids."""
+    kind, arrow_kind = identifier(docs, ident)
+    schema = f"doc_id {kind}, start long, length long, crc long, sums binary, doc_tokens long, text_hash long" + (", ids binary" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    arrow = pa.schema([(n, pa.binary() if n in ("sums", "ids") else pa.int64()) for n in names])
+    arrow = pa.schema([(n, arrow_kind if n == "doc_id" else pa.binary() if n in ("sums", "ids") else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for ident_, text_ in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows, owner = [], []
+            for at, (text_, hash_) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
                 packed = encoder.packed(text_.as_py() or "") + end
                 for start, length, crc, sums in document_pieces(packed, window, grid):
-                    rows.append((ident_, start, length, crc, sums, len(packed) // 4) + ((packed[4 * start : 4 * (start + length)],) if with_ids else ()))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                    owner.append(at)
+                    rows.append((start, length, crc, sums, len(packed) // 4, hash_) + ((packed[4 * start : 4 * (start + length)],) if with_ids else ()))
+            columns = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *arrays], schema=arrow)
 
-    return docs.select(F.col(ident).cast("long"), F.col(text)).mapInArrow(run, schema)
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"), hashed.alias("text_hash")).mapInArrow(run, schema)
 
 
 def combinations(counts: np.ndarray, window: int, most: int) -> list[tuple[int, ...]]:
@@ -217,8 +225,8 @@ def pack(
     """Pieces of all documents with their place in the packed sequences.
 
     Null texts are empty; every document ends with id 1, so an empty one is a piece of one
-    id. Null identifiers stay null. Repeated rows are packed each on their own. An empty table gives
-    no pieces. Further columns are not carried. ``vocabulary``: a tiktoken rank file of
+    id. Identifiers keep their type, nulls too. Repeated rows are packed each on their own, and rows of one
+    identifier with different texts too. An empty table gives no pieces. Further columns are not carried. ``vocabulary``: a tiktoken rank file of
     the byte-level BPE. ``with_ids`` adds the packed ids of each piece as ``ids``.
     """
     if window % grid:
@@ -229,7 +237,8 @@ def pack(
     for length, n in pieces.groupBy("length").count().collect():  # at most `window` rows
         counts[length] = n
     plan = spark.createDataFrame(packing_plan(counts, window, grid), PLAN_COLUMNS)
-    ranked = spread_rank(pieces, "length", ["doc_id", "start"], "rank")
+    # pieces that agree in all of these are copies of one row: which of them takes which place doesn't matter
+    ranked = spread_rank(pieces, "length", ["doc_id", "start", "text_hash", "crc", "doc_tokens"], "rank")
     placed = ranked.join(
         F.broadcast(plan),  # rows: a few times `window`, whatever the input
         (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_low")) & (F.col("rank") < F.col("p_high")),
@@ -248,8 +257,9 @@ def pack(
         (F.col("p_sequence") + F.floor(nth / F.col("p_each"))).cast("long").alias("sequence_id"),
         (F.col("p_offset") + nth % F.col("p_each") * F.col("p_take")).cast("long").alias("offset"),
     )
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    arrow = pa.schema([(n, pa.int64()) for n in names] + ([("ids", pa.binary())] if with_ids else []))
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    kind, arrow_kind = identifier(docs, ident)
+    arrow = pa.schema([("doc_id", arrow_kind), *((n, pa.int64()) for n in names)] + ([("ids", pa.binary())] if with_ids else []))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shift_table(window)
@@ -269,4 +279,4 @@ def pack(
                 columns.append(pa.array([x.as_py()[4 * a : 4 * (a + n)] for x, a, n in zip(get["ids"], first.tolist(), take.tolist(), strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return placed.mapInArrow(finish, ", ".join(f"{n} long" for n in names) + (", ids binary" if with_ids else ""))
+    return placed.mapInArrow(finish, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + (", ids binary" if with_ids else ""))
