@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.licenses import words_of
+from helixframe.llm.nested import identifier
 
 BUCKETS = 1 << 20
 STEMS = (4, 5)
@@ -77,9 +78,8 @@ def present(text: str, cache: Cache, shape: bool) -> set[int]:
 
 def feature_rows(rows: DataFrame, text: str, keep: list[str], shape: bool) -> DataFrame:
     """``keep`` and ``features`` (sorted buckets) of a bounded training sample."""
-    arrow = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32()}
-    kinds = dict(rows.dtypes)
-    schema = pa.schema([*((k, arrow[kinds[k]]) for k in keep), ("features", pa.list_(pa.int32()))])
+    kinds = {k: identifier(rows, k) for k in keep}
+    schema = pa.schema([*((k, kinds[k][1]) for k in keep), ("features", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Cache()
@@ -87,7 +87,7 @@ def feature_rows(rows: DataFrame, text: str, keep: list[str], shape: bool) -> Da
             found = [sorted(present(t.as_py() or "", cache, shape)) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found, pa.list_(pa.int32()))], schema=schema)
 
-    return rows.select(*keep, text).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", features array<int>")
+    return rows.select(*keep, text).mapInArrow(run, ", ".join(f"{k} {kinds[k][0]}" for k in keep) + ", features array<int>")
 
 
 def gathered(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:

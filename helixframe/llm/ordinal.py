@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.hashed_text import Cache, Matrix, adam, choose, feature_rows, gathered, held_out, present
+from helixframe.llm.nested import identifier
 
 SAMPLE, FEATURES, LEAST_Z = 12_000, 1024, 4.0
 STEPS, RATE, PENALTY = 250, 0.1, 1e-3
@@ -75,20 +76,20 @@ def train_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, featu
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int, *, text: str = "text", ident: str = "doc_id", sample: int = SAMPLE) -> OrdinalModel:
     """Train on at most ``sample`` graded rows outside the held-out fold; their identifiers are broadcast."""
     known = ratings.where(~held_out(F.col(ident)) & F.col(ident).isNotNull() & grade.isNotNull())
-    known = known.groupBy(F.col(ident).cast("long").alias("id")).agg(F.max(grade.cast("int")).alias("g"))
+    known = known.groupBy(F.col(ident).alias("id")).agg(F.max(grade.cast("int")).alias("g"))
     chosen = [(r["id"], r["g"]) for r in known.orderBy(F.xxhash64(F.lit("grades"), F.col("id")), "id").limit(sample).collect()]
     if not chosen:
         return train_ordinal([], np.zeros(0, np.int64), levels)
-    table = docs.sparkSession.createDataFrame(chosen, "s_id long, s_g int")
-    rows = docs.join(F.broadcast(table), F.col(ident).cast("long") == F.col("s_id")).select("s_id", "s_g", text)
-    grades, features = gathered(feature_rows(rows, text, ["s_id", "s_g"], shape=True))
+    table = docs.sparkSession.createDataFrame(chosen, f"s_id {identifier(docs, ident)[0]}, s_g int")
+    rows = docs.select(F.col(ident).alias("f_id"), F.col(text).alias("f_text")).join(F.broadcast(table), F.col("f_id") == F.col("s_id")).select("s_id", "s_g", "f_text")
+    grades, features = gathered(feature_rows(rows, "f_text", ["s_id", "s_g"], shape=True))
     return train_ordinal(features, grades.astype(np.int64), levels)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, *, text: str = "text", ident: str = "doc_id", tail: int = TAIL, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability P(grade >= ``tail``), predicted_grade and kept."""
     names = ["doc_id", "held_out", "expected_grade", "tail_probability", "predicted_grade", "kept"]
-    kinds = [pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
+    kinds = [identifier(docs, ident)[1], pa.bool_(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Cache(frozenset(model.weights))
@@ -98,14 +99,14 @@ def grade(docs: DataFrame, model: OrdinalModel, *, text: str = "text", ident: st
             columns = [batch.column(0), batch.column(1), pa.array(tails.sum(axis=1)), pa.array(best), pa.array((tails >= 0.5).sum(axis=1).astype(np.int32)), pa.array(best >= threshold)]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(zip(names, kinds, strict=True))))
 
-    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), held_out(F.col(ident)).alias("held_out"), F.col(text))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, expected_grade double, tail_probability double, predicted_grade int, kept boolean")
+    rows = docs.select(F.col(ident).alias("doc_id"), held_out(F.col(ident)).alias("held_out"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {identifier(docs, ident)[0]}, held_out boolean, expected_grade double, tail_probability double, predicted_grade int, kept boolean")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Grades 0 (poor), 1 (well written but toxic) and 2 (well written) from the two labels.
 
-    Null texts are graded as empty ones; null labels are no ratings; repeated rows get repeated
-    results; an empty table gives none.
+    Null texts are graded as empty ones; null labels or identifiers are no ratings, of repeated ratings the best counts;
+    repeated rows get repeated results; an empty table gives none. Identifiers keep their type.
     """
     return grade(docs, fit(docs, labels, F.col("quality").cast("int") * (2 - F.col("toxic").cast("int")), 3))

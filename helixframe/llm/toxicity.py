@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.hashed_text import Cache, Matrix, adam, choose, feature_rows, gathered, held_out, present
+from helixframe.llm.nested import identifier
 
 POSITIVES, UNLABELLED, FEATURES, LEAST_Z, LEAST_LIFT = 3000, 9000, 256, 4.0, 3.0
 STEPS, RATE, PENALTY = 200, 0.1, 5e-4
@@ -76,25 +77,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", ident: str =
     its texts; only hashed features of the sample reach the driver.
     """
     known = labels.where(~held_out(F.col(ident)) & F.col(label).isNotNull() & F.col(ident).isNotNull())
-    known = known.groupBy(F.col(ident).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = known.groupBy(F.col(ident).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     share = known.agg(F.avg("y").alias("p")).first()["p"] or 0.0
     hashed = F.xxhash64(F.lit("pu"), F.col("id").cast("string"))
     toxic = [r["id"] for r in known.where("y = 1").orderBy(hashed, "id").limit(positives).collect()]
-    others = docs.where(~held_out(F.col(ident)) & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"))
+    others = docs.where(~held_out(F.col(ident)) & F.col(ident).isNotNull()).select(F.col(ident).alias("id"))
     others = [r["id"] for r in others.orderBy(hashed, "id").limit(unlabelled).collect()]
     chosen = [(i, 1) for i in set(toxic)] + [(i, 0) for i in set(others) - set(toxic)]
     if not chosen:
         return train_nnpu([], [], share)
-    sample = docs.sparkSession.createDataFrame(chosen, "s_id long, s_y int")
-    rows = docs.join(F.broadcast(sample), F.col(ident).cast("long") == F.col("s_id")).select("s_id", "s_y", text)
-    labels_, features = gathered(feature_rows(rows, text, ["s_id", "s_y"], shape=False))
+    sample = docs.sparkSession.createDataFrame(chosen, f"s_id {identifier(docs, ident)[0]}, s_y int")
+    rows = docs.select(F.col(ident).alias("f_id"), F.col(text).alias("f_text")).join(F.broadcast(sample), F.col("f_id") == F.col("s_id")).select("s_id", "s_y", "f_text")
+    labels_, features = gathered(feature_rows(rows, "f_text", ["s_id", "s_y"], shape=False))
     by = [[f for f, own in zip(features, labels_, strict=True) if own == y] for y in (1, 0)]
     return train_nnpu(*by, prior=share)
 
 
 def score(docs: DataFrame, model: PuModel, *, text: str = "text", ident: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every whole text; null texts are empty."""
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
+    schema = pa.schema([("doc_id", identifier(docs, ident)[1]), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Cache(frozenset(model.weights))
@@ -102,10 +103,12 @@ def score(docs: DataFrame, model: PuModel, *, text: str = "text", ident: str = "
             found = np.array([model.score(present(t.as_py() or "", cache, False)) for t in batch.column(2)], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= threshold).astype(np.int32))], schema=schema)
 
-    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), held_out(F.col(ident)).alias("held_out"), F.col(text))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col(ident).alias("doc_id"), held_out(F.col(ident)).alias("held_out"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {identifier(docs, ident)[0]}, held_out boolean, score double, predicted int")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit and score. Without labels every text scores near 0; an empty table gives no rows."""
+    """Fit and score every row. Null texts are scored as empty ones; null labels or identifiers train nothing, repeated labels
+    count as toxic if one is; rows without identifier are never held out; repeated rows get repeated results.
+    Without labels every text scores near 0; an empty table gives no rows. Identifiers keep their type."""
     return score(docs, fit(docs, labels))
