@@ -151,24 +151,44 @@ def covered_by_brute_force(text, template, min_match):
 
 
 def test_matches_inside_longer_matches_of_other_templates(spark):
-    scanner, rng = lic.Scanner(), np.random.default_rng(3)
-    notice = " ".join(lic.TEMPLATES["apache-notice"])
+    every, rng = lic.default_templates(), np.random.default_rng(3)
+    short = [k for k, t in every.items() if len(t.split()) < 400]
+    scanner = lic.Scanner({k: every[k] for k in short})
+    notice = lic.NOTICES["apache-notice"]
     texts = [notice, "x licensed under the apache license version 2 0 the license and other words", "all rights reserved " * 3]
     for _ in range(150):
         parts = []
         for _ in range(rng.integers(1, 5)):
-            t = " ".join(lic.TEMPLATES[str(rng.choice(list(lic.TEMPLATES)))]).split()
+            t = every[str(rng.choice(short))].split()
             a, b = sorted(rng.integers(0, len(t) + 1, 2))
             parts += t[a:b] + ["other"] * int(rng.integers(0, 2))
         texts.append(" ".join(parts))
     want = [{k: v for k, t in scanner.templates.items() if (v := covered_by_brute_force(x.encode(), t, scanner.min_match))} for x in texts]
     assert [{k: round(v, 9) for k, v in scanner.scan(x.encode()).covered.items()} for x in texts] == [{k: round(v, 9) for k, v in w.items()} for w in want]
-    got = {r.doc_id: r for r in lic.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in lic.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates={k: every[k] for k in short}).collect()}
     for i, (x, w) in enumerate(zip(texts, want, strict=True)):
+        base = set(scanner.scan(x.encode()).base)
+        assert abs(got[i].score - max([1.0 if base else 0.0, *w.values()])) < 1e-9
+        words = lic.words_of(x.encode())
+        for label, at, own, n in got[i].spans:
+            assert words[at : at + n] == scanner.templates[label][own : own + n]
         assert got[i].labels == ",".join(sorted({*scanner.scan(x.encode()).base, *(k for k, v in w.items() if v >= lic.MIN_COVER)}))
     assert "apache-short" in got[0].labels.split(",") and "apache-short" in got[1].labels.split(",")
 
 
+def test_whole_licence_texts(spark):
+    """Every text labels itself, wrapped in others' words; half a text is enough and a third is not."""
+    every = lic.default_templates()
+    assert len(every) > 25 and len(lic.words_of(every["gpl-3.0"].encode())) > 5000
+    rows = [(k, "a preface " + t.upper() + " an end") for k, t in every.items()]
+    parts = {n: " ".join(every["mpl-2.0"].split()[: int(n * len(every["mpl-2.0"].split()))]) for n in (0.33, 0.6)}
+    rows += [(f"mpl {n}", t) for n, t in parts.items()]
+    got = {r.doc_id: r for r in lic.license_report(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(k in got[k].labels.split(",") and got[k].score >= 0.999 for k in every)
+    assert "mpl-2.0" in got["mpl 0.6"].labels.split(",") and "mpl-2.0" not in got["mpl 0.33"].labels.split(",")
+    assert "bsd-2-clause" in got["bsd-3-clause"].labels.split(",") and "gpl-3.0" not in got["gpl-2.0"].labels.split(",")
+
+
 def test_added_tokens_are_as_the_tokenizer_loads_them(spark):
     from tokenizers import Tokenizer
 
@@ -400,3 +420,34 @@ def test_simhash(docs, empty):
     assert simhash.simhash_report(empty).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.count() == len(names) and kept.columns == docs.columns
+
+
+def test_identifiers_of_any_type(spark):
+    """Names and nulls as identifiers, repeated ones with different texts, through every operator that carries them."""
+    texts = ["alpha beta gamma delta " * 9, "other words entirely " * 20, None, "", "GNU General Public License"]
+    d = spark.createDataFrame([(f"n{i % 4}" if i < 9 else None, texts[i % 5], "en", f"s{i % 2}", i) for i in range(10)], "doc_id string, text string, lang string, source string, s_id int")
+    want = Counter(r.doc_id for r in d.collect())
+    reports = [media.media_report, lic.license_report, quality_lines.line_quality_report, mixing.mix_report, line_dedup.line_report, sharding.shard_report, simhash.simhash_report]
+    for report in reports:
+        assert Counter(r.doc_id for r in report(d).collect()) == want, report
+    packed = packing.pack(d, window=64).collect()
+    assert Counter(r.doc_id for r in packed if not r.start) == want
+    again = packing.pack(d.repartition(3), window=64).collect()
+    assert sorted(map(repr, packed)) == sorted(map(repr, again))
+    assert {r.component_id for r in simhash.simhash_report(d).collect()} <= set(want)
+
+
+def test_long_texts_are_whole(spark):
+    """One text of some megabytes through every operator that reads texts."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(5000)]
+    lines = [" ".join(words[j] for j in rng.integers(0, 5000, 12)) for _ in range(20_000)]
+    text = "\n".join(lines) + "\nMIT License"
+    d = spark.createDataFrame([(1, text, "en", "s"), (2, "short", "en", "s")], "doc_id long, text string, lang string, source string")
+    one = {f.__name__: f(d).where("doc_id = 1").first() for f in (media.media_report, lic.license_report, quality_lines.line_quality_report, line_dedup.line_report, mixing.mix_report)}
+    assert one["media_report"].n_bytes == len(text) and one["media_report"].verified
+    assert one["license_report"].last_word == one["license_report"].n_words - 2 == 240_000
+    assert one["line_quality_report"].n_words == one["mix_report"].size == 240_002
+    assert one["line_report"].n_lines == 20_001 and one["line_report"].kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    pieces = sorted((r.start, r.length, r.doc_tokens) for r in packing.pack(d).where("doc_id = 1").collect())
+    assert all(a + n == b for (a, n, _), (b, *_) in zip(pieces, pieces[1:], strict=False)) and pieces[-1][0] + pieces[-1][1] == pieces[-1][2]

@@ -68,3 +68,68 @@ def test_without_labels_or_rows(spark):
     assert all(r.predicted == 0 for r in toxicity.toxicity_report(docs, none).collect())
     assert toxicity.toxicity_report(docs.limit(0), labels).count() == 0
     assert ordinal.quality_report(docs, none).count() == docs.count() and ordinal.quality_report(docs.limit(0), labels).count() == 0
+
+
+def slope(loss, v, step=1e-5):
+    return np.array([(loss(v + step * e) - loss(v - step * e)) / (2 * step) for e in np.eye(len(v))])
+
+
+def presence(rows, buckets):
+    return np.array([[b in set(r.tolist()) for b in buckets] for r in rows], float)
+
+
+def test_ordinal_fit_is_a_minimum_of_the_likelihood():
+    """The slope of an independent cumulative-link loss is zero at the fit."""
+    rng = np.random.default_rng(2)
+    grades = rng.integers(0, 4, 400)
+    rows = [np.unique([b for b in range(8) if rng.random() < (0.2 + 0.2 * g if b < 3 else 0.8 - 0.2 * g if b < 6 else 0.5)]).astype(np.int64) for g in grades]
+    model = ordinal.train_ordinal(rows, grades, 4, least_z=0.5, steps=6000, rate=0.02, penalty=1e-2)
+    buckets = sorted(model.weights)
+    x = presence(rows, buckets)
+
+    def loss(v):
+        w, t = v[: len(buckets)], np.concatenate([[-1e9], v[len(buckets) :], [1e9]])
+        below = 1 / (1 + np.exp(-np.clip(t[None, :] - (x @ w)[:, None], -500, 500)))
+        p = below[np.arange(len(x)), grades + 1] - below[np.arange(len(x)), grades]
+        return -np.log(p).mean() + 1e-2 / 2 * (w * w).sum()
+
+    fit = np.array([model.weights[b] for b in buckets] + list(model.thresholds))
+    assert len(buckets) > 3 and np.abs(slope(loss, fit)).max() < 1e-3
+
+
+def test_pu_fit_is_a_minimum_of_the_corrected_risk():
+    rng = np.random.default_rng(3)
+
+    def draw(toxic):
+        return np.flatnonzero(rng.random(10) < (np.r_[[0.8] * 4, [0.3] * 6] if toxic else np.r_[[0.05] * 4, [0.3] * 6])).astype(np.int64)
+
+    positive, unlabelled, prior = [draw(True) for _ in range(150)], [draw(rng.random() < 0.2) for _ in range(600)], 0.2
+    model = toxicity.train_nnpu(positive, unlabelled, prior, least_z=1.0, steps=6000, rate=0.02, penalty=1e-2)
+    buckets = sorted(model.weights)
+    p, u = presence(positive, buckets), presence(unlabelled, buckets)
+
+    def parts(v):
+        zp, zu = p @ v[:-1] + v[-1], u @ v[:-1] + v[-1]
+        return prior * np.log1p(np.exp(-zp)).mean(), np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+
+    def loss(v):
+        plus, minus = parts(v)
+        return plus + max(0.0, minus) + 1e-2 / 2 * (v[:-1] ** 2).sum()
+
+    fit = np.array([model.weights[b] for b in buckets] + [model.bias])
+    assert len(buckets) > 2 and parts(fit)[1] > 0 and np.abs(slope(loss, fit)).max() < 1e-3
+
+
+def test_pu_risk_is_kept_from_turning_negative():
+    """Unlabelled rows without any sign of the positives: the plain estimate would fall below zero without end."""
+    positive, unlabelled = [np.array([1]) for _ in range(100)], [np.array([2]) for _ in range(100)]
+    model = toxicity.train_nnpu(positive, unlabelled, 0.5, least_z=0.0, steps=2000, penalty=0.0)
+    zp, zu = (model.bias + sum(w for b, w in model.weights.items() if b == k) for k in (1, 2))
+    assert np.log1p(np.exp(zu)) - 0.5 * np.log1p(np.exp(zp)) > -0.2 and model.score({1} & set(model.weights)) > 0.5
+
+
+def test_identifiers_of_any_type(spark):
+    docs, labels = corpus(spark, 120)
+    named = [x.selectExpr("concat('d', doc_id) as doc_id", *[c for c in x.columns if c != "doc_id"], "1 as s_id", "2 as f_id") for x in (docs, labels)]
+    for report in (toxicity.toxicity_report, ordinal.quality_report):
+        assert {r.doc_id for r in report(*named).collect()} == {None if i is None else f"d{i}" for i in [*range(122), None]}
