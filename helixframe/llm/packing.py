@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.nested import identifier
 from helixframe.llm.ranks import spread_rank
 from helixframe.llm.store import materialise
-from helixframe.llm.tokens import Encoder
+from helixframe.llm.tokens import shared_encoder
 
 WINDOW, GRID, END_ID = 2048, 16, 1
 #: candidates of the least squares: all pairs, and the triples of the largest possible repeats. Fewer cost padding at most: what
@@ -59,7 +59,7 @@ def tokenised(docs: DataFrame, text: str, ident: str, window: int, grid: int, vo
     arrow = pa.schema([(n, arrow_kind if n == "doc_id" else pa.binary() if n in ("sums", "ids") else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = shared_encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows, owner = [], []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -24,7 +25,9 @@ def _vocabulary(path: str, pattern: str):
 def _added_tokens(path: str) -> dict[str, int]:
     """Ids of a tokenizer file's added tokens, which are cut out of a text before anything else."""
     with open(path, encoding="utf-8") as file:
-        added = json.load(file)["added_tokens"]
+        whole = file.read()
+    # only that list is parsed: the vocabulary and merges beside it would take some hundred MB
+    added, _ = json.JSONDecoder().raw_decode(whole, re.search(r'"added_tokens"\s*:\s*', whole).end())
     if any(a[flag] for a in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
         raise ValueError("only added tokens that match as they stand are known")
     return {a["content"]: a["id"] for a in added}
@@ -46,6 +49,12 @@ class ChunkCache(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str | None = None) -> Encoder:
+    """One encoder a worker process, whose tables and cache its tasks share."""
+    return Encoder(path)
+
+
 class Encoder:
     """``packed(text)``: little-endian 32-bit ids, equal to encoding the whole text.
 
