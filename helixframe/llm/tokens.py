@@ -1,4 +1,4 @@
-"""Token ids of a public byte-level BPE, with a cache of space-separated chunks."""
+"""Token ids of a public byte-level BPE."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ from functools import lru_cache
 
 import numpy as np
 
-_ODD_SPACE = re.compile(r" \s|\s ")
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-_LONGEST_CACHED = 48
-
 
 def _vocabulary(path: str, pattern: str):
     import tiktoken
@@ -33,38 +29,20 @@ def _added_tokens(path: str) -> dict[str, int]:
     return {a["content"]: a["id"] for a in added}
 
 
-class ChunkCache(dict):
-    """Maps a chunk to the packed ids of a space followed by the chunk; bounded in entries."""
-
-    def __init__(self, encoding, entries: int) -> None:
-        super().__init__()
-        self.encoding, self.entries = encoding, entries
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(" " + chunk), "<u4").tobytes()
-        if len(chunk) <= _LONGEST_CACHED:
-            if len(self) >= self.entries:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-
 @lru_cache(maxsize=2)
 def shared_encoder(path: str | None = None) -> Encoder:
-    """One encoder a worker process, whose tables and cache its tasks share."""
+    """One encoder a worker process, whose tables its tasks share."""
     return Encoder(path)
 
 
 class Encoder:
-    """``packed(text)``: little-endian 32-bit ids, equal to encoding the whole text.
+    """``packed(text)``: little-endian 32-bit ids of the whole text.
 
-    The public vocabulary's added tokens are cut out of a text first; the parts between are encoded each on its own.
-    The pre-tokenizer's pattern never matches across a single space that stands between two
-    characters that are no white space, other than with the space as first character, so a text
-    may be cut before each such space and its chunks encoded on their own.
+    The public vocabulary's added tokens are cut out of a text first; the parts between are encoded each on its own, and
+    their ids are taken from the encoder's buffer without a Python number each.
     """
 
-    def __init__(self, path: str | None = None, pattern: str | None = None, entries: int = 200_000) -> None:
+    def __init__(self, path: str | None = None, pattern: str | None = None) -> None:
         self.added: dict[str, bytes] = {}
         if path is None or pattern is None:
             import public_tokenizers
@@ -74,15 +52,12 @@ class Encoder:
             path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
             pattern = pattern or public_tokenizers.PATTERN
         self.encoding = _vocabulary(path, pattern)
-        self.cache = ChunkCache(self.encoding, entries)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def packed(self, text: str) -> bytes:
-        if self.cut is None:
+        if self.cut is None or not any(token in text for token in self.added):
             return self._ordinary(text)
         return b"".join(self.added[part] if i % 2 else self._ordinary(part) for i, part in enumerate(self.cut.split(text)))
 
     def _ordinary(self, text: str) -> bytes:
-        chunks = _SAFE_CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        head = np.array(self.encoding.encode_ordinary(chunks[0]), "<u4").tobytes()
-        return head + b"".join(map(self.cache.__getitem__, chunks[1:]))
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
