@@ -10,6 +10,8 @@ from helixframe.operators.graph import BACKWARD, COUNTS, FORWARD
 from helixframe.operators.windows import segments, windows
 
 PLACE = ("path", "segment_id", "abs_start")
+#: positions of a path that are joined or sorted together
+BIN = 1 << 14
 
 
 def _edge(columns: list[str], base: Column) -> Column:
@@ -47,10 +49,25 @@ def track(assembly: DataFrame, dbg: DataFrame, k: int = 21, *, path: str = "head
     )
 
 
+def position_bin(position: str) -> Column:
+    return F.floor(F.col(position) / BIN)
+
+
+def in_bins(intervals: DataFrame, begin: str, end: str) -> DataFrame:
+    """Non-empty ``intervals`` once for every bin of positions that they touch; joins on path and bin spread a long path over many tasks."""
+    full = intervals.where(F.col(end) > F.col(begin))
+    return full.withColumn("bin", F.explode(F.sequence(F.floor(F.col(begin) / BIN), F.floor((F.col(end) - 1) / BIN))))
+
+
 def in_intervals(rows: DataFrame, intervals: DataFrame, position: str = "abs_pos") -> DataFrame:
-    """Rows whose position lies in an interval of their path: begin inclusive, end exclusive, from 0."""
-    own = intervals.select(F.col("header").alias("__h"), F.col("begin").alias("__lo"), F.col("end").alias("__hi"))
-    near = (F.col("path") == F.col("__h")) & (F.col(position) >= F.col("__lo")) & (F.col(position) < F.col("__hi"))
+    """Rows whose position lies in an interval of their path: begin inclusive, end exclusive, from 0.
+
+    Intervals are clipped to the last position of their path, so one that states a huge end has few bins.
+    """
+    last = rows.groupBy(F.col("path").alias("i_path")).agg((F.max(position) + 1).alias("i_last"))
+    named = intervals.select(F.col("header").alias("i_path"), F.greatest("begin", F.lit(0)).alias("i_begin"), "end").join(last, "i_path")
+    own = in_bins(named.select("i_path", "i_begin", F.least("end", "i_last").alias("i_end")), "i_begin", "i_end")
+    near = (F.col("path") == F.col("i_path")) & (position_bin(position) == F.col("bin")) & (F.col(position) >= F.col("i_begin")) & (F.col(position) < F.col("i_end"))
     return rows.join(own, near, "left_semi")
 
 
@@ -85,9 +102,16 @@ def anomalies(rows: DataFrame, k: int = 21) -> DataFrame:
 
 
 def support_ahead(rows: DataFrame, k: int = 21) -> DataFrame:
-    """Per window the k windows after it: one point for each present, one less for each absent."""
-    ahead = Window.partitionBy("path", "segment_id").orderBy("pos").rowsBetween(1, k)
-    return rows.where("pos < kcount").withColumn("score", F.coalesce(F.sum(F.when(F.col("cov") > 0, 1).otherwise(-1)).over(ahead), F.lit(0)))
+    """Per window the k windows after it: one point for each present, one less for each absent.
+
+    Positions are sorted in chunks, each with the k positions after it.
+    """
+    chunk = F.floor(F.col("pos") / BIN)
+    homes = F.when((F.col("pos") % BIN < k) & (F.col("pos") >= BIN), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    spread = rows.where("pos < kcount").withColumn("chunk", F.explode(homes))
+    ahead = Window.partitionBy("path", "segment_id", "chunk").orderBy("pos").rowsBetween(1, k)
+    scored = spread.withColumn("score", F.coalesce(F.sum(F.when(F.col("cov") > 0, 1).otherwise(-1)).over(ahead), F.lit(0)))
+    return scored.where(chunk == F.col("chunk")).drop("chunk")
 
 
 def lookup_kmer(dbg: DataFrame, kmer: str) -> DataFrame:

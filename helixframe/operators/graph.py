@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.bases import BASES, saturated
-from helixframe.operators.windows import fragments, oriented_edges, windows
+from helixframe.operators.windows import fragments, oriented_edges, segments, windows
+from helixframe.scratch import materialise
 
 FORWARD, BACKWARD = [f"fw{i}" for i in range(4)], [f"bw{i}" for i in range(4)]
 EDGES = FORWARD + BACKWARD
 COUNTS = ["cov", *EDGES]
+#: k-mers that are broadcast at most: some 50 MB
+FEW = 1 << 19
 
 
 def check_k(k: int) -> None:
@@ -20,14 +23,28 @@ def check_k(k: int) -> None:
         raise ValueError(f"k must be 1 to 32, not {k}")
 
 
-def build(reads: DataFrame, k: int = 21, sequence: str = "sequence") -> DataFrame:
-    """Count the canonical k-mers of ``reads`` with their neighbours: one shuffle, partial sums before it."""
+def build(reads: DataFrame, k: int = 21, sequence: str = "sequence", only: DataFrame | None = None) -> DataFrame:
+    """Count the canonical k-mers of ``reads`` with their neighbours: one shuffle, partial sums before it.
+
+    ``only`` (key) keeps those k-mers alone, as ``assembly_keys`` makes them. Up to ``FEW`` of them are broadcast and
+    filter the windows before anything is shuffled; more are joined with the counts.
+    """
     check_k(k)
     rows = oriented_edges(windows(fragments(reads, sequence), k))
+    few = only is not None and only.limit(FEW + 1).count() <= FEW
+    if few:
+        rows = rows.join(F.broadcast(only.select("key")), "key", "left_semi")
     sums = [F.count("*").alias("cov")]
     for name, column in (("fw", "f_base"), ("bw", "b_base")):
         sums += [F.count_if(F.col(column) == b).alias(f"{name}{i}") for i, b in enumerate(BASES)]
-    return _saturated(rows.groupBy("key").agg(*sums))
+    counts = _saturated(rows.groupBy("key").agg(*sums))
+    return counts if only is None or few else counts.join(only.select("key"), "key", "left_semi")
+
+
+def assembly_keys(assembly: DataFrame, k: int = 21, path: str = "header", sequence: str = "sequence") -> DataFrame:
+    """The distinct canonical k-mers of an assembly, written, so that their number is known before they are used."""
+    parts = assembly if "abs_start" in assembly.columns else segments(assembly, path, sequence)
+    return materialise(windows(parts, k).select("key").distinct(), "assembly-keys")
 
 
 def _saturated(dbg: DataFrame) -> DataFrame:

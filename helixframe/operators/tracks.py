@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.evaluate import in_bins, position_bin
+
 SERIES = ("cov", "right", "left")
+#: positions that are sorted together
+CHUNK = 1 << 14
 SEPARATORS = {"bed": ("\t", ":"), "csvtable": (",", ","), "csv": (",", " ")}
 
 
 def covering(rows: DataFrame, k: int = 21) -> DataFrame:
-    """Per base the values of the k windows that cover it, oldest first, zeros where none starts."""
-    frame = Window.partitionBy("path", "segment_id").orderBy("pos").rowsBetween(-(k - 1), 0)
+    """Per base the values of the k windows that cover it, oldest first, zeros where none starts.
+
+    Positions fall into chunks that are sorted on their own, so a long segment is many tasks; a chunk also gets
+    the k - 1 positions before it.
+    """
+    chunk, span = F.floor(F.col("pos") / CHUNK), F.lit(CHUNK)
+    homes = F.when(F.col("pos") % span >= span - (k - 1), F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    spread = rows.select("path", "segment_id", "pos", "abs_pos", *SERIES, F.explode(homes).alias("chunk"))
+    frame = Window.partitionBy("path", "segment_id", "chunk").orderBy("pos").rowsBetween(-(k - 1), 0)
+    item = F.collect_list(F.struct(*SERIES)).over(frame)
 
     def padded(name: str) -> Column:
-        own = F.collect_list(name).over(frame)
+        own = F.transform("covering", lambda x: x[name])
         return F.concat(F.array_repeat(F.lit(0).cast("long"), F.lit(k) - F.size(own)), own)
 
-    return rows.select("path", "segment_id", "pos", "abs_pos", *[padded(c).alias(f"{c}_k") for c in SERIES])
+    held = spread.withColumn("covering", item).where(chunk == F.col("chunk"))
+    return held.select("path", "segment_id", "pos", "abs_pos", *[padded(c).alias(f"{c}_k") for c in SERIES])
 
 
 def lookup(rows: DataFrame, intervals: DataFrame, span: int = 0) -> DataFrame:
@@ -37,7 +50,9 @@ def lookup(rows: DataFrame, intervals: DataFrame, span: int = 0) -> DataFrame:
     )
     clipped = wanted.join(bounds, (F.col("w_path") == F.col("path")) & (F.col("first") >= F.col("lo")) & (F.col("first") < F.col("hi")))
     clipped = clipped.select("w_path", F.col("segment_id").alias("w_segment"), "begin", "end", "first", F.least("stop", "hi").alias("stop"))
-    inside = (F.col("path") == F.col("w_path")) & (F.col("segment_id") == F.col("w_segment")) & (F.col("abs_pos") >= F.col("first")) & (F.col("abs_pos") < F.col("stop"))
+    clipped = in_bins(clipped, "first", "stop")
+    inside = (F.col("path") == F.col("w_path")) & (F.col("segment_id") == F.col("w_segment")) & (position_bin("abs_pos") == F.col("bin"))
+    inside = inside & (F.col("abs_pos") >= F.col("first")) & (F.col("abs_pos") < F.col("stop"))
     return rows.join(clipped, inside).select("path", "begin", "end", "first", "stop", "abs_pos", *[c for c in rows.columns if c in (*SERIES, *(f"{s}_k" for s in SERIES))])
 
 

@@ -10,6 +10,9 @@ from helixframe.operators.components import connected_components
 from helixframe.operators.subgraph import both_strands, neighbours
 from helixframe.scratch import materialise
 
+#: k-mers of a path that are put together at once
+RUN = 1 << 12
+
 
 def node_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Uncollapsed export: (name, sequence, depth, colour) a node, and each edge from both of its ends."""
@@ -79,12 +82,16 @@ def unitigs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         inner = materialise(inner.join(starts.unionByName(mirrored).distinct(), "b", "left_anti"), "inner")
         state = _heads(all_.select("node"), inner)
     state = materialise(state.select("node", "head", "offset"), "placed")
+    # a path is put together in two steps, so that no group of one step grows with its length: runs of offsets, then their texts
     last = F.substring("node", -1, 1)
-    paths = state.join(all_, "node").groupBy("head").agg(
-        F.array_sort(F.collect_list(F.struct("offset", last.alias("base")))).alias("v"), F.count("*").alias("n_kmers"), F.avg("cov").alias("depth"), F.max("colour").alias("colour"), F.max(F.struct("offset", "node"))["node"].alias("tail")
+    runs = state.join(all_, "node").groupBy("head", F.floor(F.col("offset") / RUN).alias("run")).agg(
+        F.array_sort(F.collect_list(F.struct("offset", last.alias("base")))).alias("v"), F.count("*").alias("n"), F.sum("cov").alias("covs"), F.max("colour").alias("colour"), F.max(F.struct("offset", "node")).alias("end")
+    )
+    text = F.array_join(F.transform(F.filter("v", lambda x: x["offset"] > 0), lambda x: x["base"]), "")
+    paths = runs.select("head", "n", "covs", "colour", "end", F.struct("run", text.alias("text")).alias("part")).groupBy("head").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["text"]), "").alias("rest"), F.sum("n").alias("n_kmers"), F.sum("covs").alias("covs"), F.max("colour").alias("colour"), F.max("end")["node"].alias("tail")
     )
-    tail = F.array_join(F.transform(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), lambda x: x["base"]), "")
-    paths = paths.select("head", "tail", "n_kmers", "depth", "colour", F.concat("head", tail).alias("sequence"))
+    paths = paths.select("head", "tail", "n_kmers", (F.col("covs") / F.col("n_kmers")).alias("depth"), "colour", F.concat("head", "rest").alias("sequence"))
     paths = paths.withColumn("name", F.least("sequence", reverse_complement(F.col("sequence")))).withColumn("strand", F.when(F.col("sequence") == F.col("name"), "+").otherwise("-"))
     paths = materialise(paths, "paths")
     out = paths.where("strand = '+'").select("name", "sequence", "n_kmers", F.round("depth", 6).alias("depth"), colour_name(F.col("colour")).alias("colour"))
@@ -132,6 +139,12 @@ def bubbles(edges: DataFrame) -> DataFrame:
     return outer.where("on_a or on_b").select(F.col("a.n").alias("start"), F.col("b.n").alias("end"), "arms")
 
 
+def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: segments without any edge, and their length."""
+    touched = edges.select(F.explode(F.array("source", "target")).alias("name")).distinct()
+    return nodes.join(touched, "name", "left_anti").agg(F.count("*").alias("segments"), F.coalesce(F.sum(F.length("sequence")), F.lit(0)).alias("total_length"))
+
+
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: segments, lengths, edges, degree, components, dead ends, bubbles and circular segments."""
     sized = nodes.select("name", F.length("sequence").cast("long").alias("length"))
@@ -149,7 +162,38 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def gfa_lines(nodes: DataFrame, edges: DataFrame, k: int = 21) -> DataFrame:
     """(part, line) of a GFA 1 file with depth, colour and edge count tags."""
-    head = nodes.sparkSession.createDataFrame([(0, "H\tVN:Z:1.2")], "part int, line string")
-    s = nodes.select(F.lit(1).alias("part"), F.concat_ws("\t", F.lit("S"), "name", "sequence", F.concat(F.lit("DP:f:"), F.col("depth").cast("string")), F.concat(F.lit("CB:Z:"), "colour")).alias("line"))
-    e = edges.select(F.lit(2).alias("part"), F.concat_ws("\t", F.lit("L"), "source", "source_strand", "target", "target_strand", F.lit(f"{k - 1}M"), F.concat(F.lit("KC:i:"), F.col("count").cast("string"))).alias("line"))
+    tags = [F.concat(F.lit("DP:f:"), F.col("depth").cast("string")), F.concat(F.lit("CB:Z:"), "colour")]
+    rows = nodes.select("name", "sequence", F.concat_ws("\t", *tags).alias("tags"))
+    links = edges.select("source", "source_strand", "target", "target_strand", F.lit(k - 1).alias("overlap"), F.concat(F.lit("KC:i:"), F.col("count").cast("string")).alias("tags"))
+    return graph_lines(rows, links, 1)
+
+
+def graph_lines(nodes: DataFrame, edges: DataFrame, version: int) -> DataFrame:
+    """(part, line) of a GFA file of ``version`` 1 or 2 for (name, sequence, tags) and (source, .., overlap, tags).
+
+    In GFA 2 segments state their length, and edges the ends that overlap: the end of the source as it is
+    walked, and the start of the target; ``$`` marks a segment's last position.
+    """
+    head = nodes.sparkSession.createDataFrame([(0, f"H\tVN:Z:{'1.2' if version == 1 else '2.0'}")], "part int, line string")
+    sequence = F.when(F.col("sequence") == "", "*").otherwise(F.col("sequence"))
+
+    def line(part: int, *fields) -> list:
+        return [F.lit(part).alias("part"), F.concat_ws("\t", *fields, F.when(F.col("tags") != "", F.col("tags"))).alias("line")]
+
+    if version == 1:
+        s = nodes.select(*line(1, F.lit("S"), "name", sequence))
+        e = edges.select(*line(2, F.lit("L"), "source", "source_strand", "target", "target_strand", F.concat(F.col("overlap").cast("string"), F.lit("M"))))
+        return head.unionByName(s).unionByName(e)
+    sizes = nodes.select("name", F.length("sequence").alias("size"))
+    s = nodes.select(*line(1, F.lit("S"), "name", F.length("sequence").cast("string"), sequence))
+    sized = edges.join(sizes.select(F.col("name").alias("source"), F.col("size").alias("a_size")), "source").join(sizes.select(F.col("name").alias("target"), F.col("size").alias("b_size")), "target")
+
+    def span(size: str, at_end) -> list:
+        end, whole = F.when(at_end, F.col(size)).otherwise(F.col("overlap")), F.col(size).cast("string")
+        begin = F.when(at_end, F.col(size) - F.col("overlap")).otherwise(F.lit(0))
+        marked = [F.when(x == F.col(size), F.concat(whole, F.lit("$"))).otherwise(x.cast("string")) for x in (begin, end)]
+        return marked
+
+    ends = [*span("a_size", F.col("source_strand") == "+"), *span("b_size", F.col("target_strand") == "-")]
+    e = sized.select(*line(2, F.lit("E"), F.lit("*"), F.concat("source", "source_strand"), F.concat("target", "target_strand"), *ends, F.concat(F.col("overlap").cast("string"), F.lit("M"))))
     return head.unionByName(s).unionByName(e)

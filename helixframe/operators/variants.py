@@ -16,13 +16,14 @@ SOURCE = ("path", "segment_id", "pos")
 VCF_HEAD = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype Quality">']
 
 
-def variants(assembly: DataFrame, dbg: DataFrame, k: int = 21, *, span: int = 5, depth: int | None = None, cutoff: int = 0, algorithm: str = "best-first") -> DataFrame:
+def variants(assembly: DataFrame, dbg: DataFrame, k: int = 21, *, span: int = 5, depth: int | None = None, cutoff: int = 0, algorithm: str = "best-first", most: int | None = None) -> DataFrame:
     """(path, segment_id, pos, abs_start, type, ref_len, alt): one row an alternate walk.
 
     A walk starts at a present window with an edge that the assembly does not take, never steps on the
     window after it, and ends at the first of the ``span`` windows that follow the changed base. Walks of
     all sources advance together, a hop a round; a source visits a k-mer once. ``pos`` is the first
     changed base in the segment. Types: SNV, COM (equal length), DEL (bases lost), INS (a base too many).
+    ``most`` keeps the shortest so many walks of a source.
     """
     hops = (default_depth(k, algorithm) if depth is None else depth) + 1
     parts = assembly if "abs_start" in assembly.columns else segments(assembly)
@@ -54,6 +55,9 @@ def variants(assembly: DataFrame, dbg: DataFrame, k: int = 21, *, span: int = 5,
         frontier = onward.select(*SOURCE, "abs_start", "ref_key", F.col("next").alias("oriented"), "next_key", F.concat("bases", "base").alias("bases"))
     if found is None:
         found = frontier.select(*SOURCE, "abs_start", "next_key", "bases", F.lit(0).cast("long").alias("t_pos")).limit(0)
+    if most is not None:
+        shortest = Window.partitionBy(*SOURCE).orderBy(F.length("bases"), "bases", "next_key")
+        found = found.withColumn("nth", F.row_number().over(shortest)).where(F.col("nth") <= most).drop("nth")
     t = (F.col("t_pos") - F.col("pos") - k - 1).cast("int")
     inner = F.length("bases") - 1
     kind = F.when(t > 0, "COM").when(inner == k, "SNV").when(inner > k, "DEL").otherwise("INS")

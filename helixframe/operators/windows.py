@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.bases import complement, reverse_complement
 
-CHUNK = 1 << 14
+#: windows of a piece after the first and after the second cut
+CHUNK, PIECE = 1 << 12, 1 << 6
 TURNS = "(?<=[^Nn])(?=[Nn])|(?<=[Nn])(?=[^Nn])"
 
 
@@ -43,34 +44,49 @@ def fragments(reads: DataFrame, sequence: str = "sequence") -> DataFrame:
 def windows(rows: DataFrame, k: int, *, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """One row a k-window of ``seq``: ``keep``, pos, kcount, kmer, key, is_fw, left and right base.
 
-    Long sequences are first cut into chunks of positions; bytes are sliced in constant time. With
-    ``whole`` the last k - 1 positions appear too, with null k-mer.
+    A generator copies its input into every row it makes, so a sequence is first cut into overlapping pieces, in two steps, and only
+    the short pieces are carried to the positions; bytes are sliced in constant time. With ``whole`` the last
+    k - 1 positions appear too, with null k-mer.
     """
     n = F.length("seq")
     last = n - 1 if whole else n - k
-    base = rows.where(n >= k).select(*keep, F.encode("seq", "utf-8").alias("__b"), F.encode(reverse_complement(F.col("seq")), "utf-8").alias("__r"), n.alias("__n"), last.alias("__last"))
-    base = base.select("*", F.explode(F.sequence(F.lit(0), F.col("__last"), F.lit(CHUNK))).alias("__from"))
-    base = base.select("*", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + (CHUNK - 1), F.col("__last")))).alias("pos"))
-
-    def part(source: str, at: Column, size: int) -> Column:
-        return F.substring(F.col(source), at, F.lit(size)).cast("string")
-
-    p, count = F.col("pos"), F.col("__n")
-    kmer, rc = part("__b", p + 1, k), part("__r", count - p - k + 1, k)
+    base = rows.where(n >= k).select(*keep, F.encode("seq", "utf-8").alias("bytes"), F.lit(0).alias("at"), F.lit(0).alias("first"), last.alias("last"), n.alias("size"))
+    for step in (CHUNK, PIECE):
+        base = _pieces(base, step, k, keep)
+    base = base.withColumn("turned", F.encode(reverse_complement(F.col("bytes").cast("string")), "utf-8"))
+    base = base.select("*", F.explode(F.sequence("first", "last")).alias("pos"))
+    p, size = F.col("pos"), F.col("size")
+    at = p - F.col("at")  # from 0 in the piece
+
+    def part(source: str, begin: Column, length: int) -> Column:
+        return F.substring(F.col(source), begin, F.lit(length)).cast("string")
+
+    kmer, rc = part("bytes", at + 1, k), part("turned", F.length("bytes") - at - k + 1, k)
     if whole:
-        kmer, rc = F.when(p <= count - k, kmer), F.when(p <= count - k, rc)
+        kmer, rc = F.when(p <= size - k, kmer), F.when(p <= size - k, rc)
     return base.select(
         *keep,
         p.cast("long").alias("pos"),
-        (count - k + 1).cast("long").alias("kcount"),
+        (size - k + 1).cast("long").alias("kcount"),
         kmer.alias("kmer"),
         F.least(kmer, rc).alias("key"),
         (kmer <= rc).alias("is_fw"),
-        F.when(p > 0, part("__b", p, 1)).alias("left"),
-        F.when(p + k < count, part("__b", p + k + 1, 1)).alias("right"),
+        F.when(p > 0, part("bytes", at, 1)).alias("left"),
+        F.when(p + k < size, part("bytes", at + k + 1, 1)).alias("right"),
     )
 
 
+def _pieces(rows: DataFrame, step: int, k: int, keep: tuple[str, ...]) -> DataFrame:
+    """Cut pieces (bytes from base ``at``; windows ``first`` to ``last``) into those of ``step`` windows, each with the base before and after."""
+    def piece(first: Column) -> Column:
+        at = F.greatest(first - 1, F.lit(0))
+        own = F.substring(F.col("bytes"), at - F.col("at") + 1, first - at + F.lit(step + k))
+        return F.struct(own.alias("bytes"), at.alias("at"), first.alias("first"), F.least(first + (step - 1), F.col("last")).alias("last"))
+
+    made = F.transform(F.sequence(F.col("first"), F.col("last"), F.lit(step)), piece)
+    return rows.select(*keep, "size", F.explode(made).alias("piece")).select(*keep, "size", "piece.*")
+
+
 def oriented_edges(rows: DataFrame) -> DataFrame:
     """Adds f_base and b_base: the window's right and left neighbours seen from its key."""
     fw = F.when(F.col("is_fw"), F.col("right")).otherwise(complement(F.col("left")))

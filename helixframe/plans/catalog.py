@@ -49,8 +49,13 @@ def _dbg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build(reads(spark, sf_dir), K)
 
 
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the graph that the assembly's own k-mers need."""
+    return graph.build(reads(spark, sf_dir), K, only=graph.assembly_keys(contigs(spark, sf_dir), K))
+
+
 def _track(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return evaluate.track(contigs(spark, sf_dir), _dbg(spark, sf_dir), K, whole=whole)
+    return evaluate.track(contigs(spark, sf_dir), _known(spark, sf_dir), K, whole=whole)
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +148,7 @@ def range_lookup(s: SparkSession, d: str) -> DataFrame:
 
 
 def bed_window_filter(s: SparkSession, d: str) -> DataFrame:
-    rows = evaluate.track(contigs(s, d), _dbg(s, d), K, intervals=_intervals(s, d))
+    rows = evaluate.track(contigs(s, d), _known(s, d), K, intervals=_intervals(s, d))
     return rows.select("path", "abs_pos", "cov")
 
 
@@ -175,7 +180,7 @@ def fasta_roundtrip(s: SparkSession, d: str) -> DataFrame:
 
 
 def subgraph_seeds(s: SparkSession, d: str) -> DataFrame:
-    return subgraph.seeds(contigs(s, d), _dbg(s, d), K)
+    return subgraph.seeds(contigs(s, d), _known(s, d), K)
 
 
 def subgraph_summary(s: SparkSession, d: str) -> DataFrame:
@@ -183,7 +188,7 @@ def subgraph_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def prune_edges(s: SparkSession, d: str) -> DataFrame:
-    return subgraph.prune_edges(subgraph.seeds(contigs(s, d), _dbg(s, d), K))
+    return subgraph.prune_edges(materialise(subgraph.seeds(contigs(s, d), _known(s, d), K), "seeds"))
 
 
 def export_edges(s: SparkSession, d: str) -> DataFrame:

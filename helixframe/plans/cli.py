@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import gzip
 import os
 import sys
 
@@ -58,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("-s", "--span", type=int, default=0)
     find.add_argument("coordinate", nargs="?")
     for p in (check, union, part, inflate, find):
+        p.add_argument("--parts", action="store_true", help="write text outputs as a folder of files, by the executors")
         p.add_argument("-j", "--threads", type=int)
         p.add_argument("-m", "--max-memory", type=float)
         p.add_argument("-t", "--tmp-prefix")
@@ -70,21 +72,50 @@ def report(dbg: DataFrame, k: int) -> None:
     print(f"Total kmers: {s.total}\nUnique kmers: {s.unique}\nDistinct kmers: {s.distinct}\nMissing kmers: {s.missing}\nTotal edges: {s.edges}")
 
 
-def put(lines: DataFrame, order: list[str], path: str, head: str = "") -> None:
-    """Ordered lines to a file, or to the screen where the name has no dot; one partition at a time."""
+def put(lines: DataFrame, order: list[str], path: str, head: str = "", parts: bool = False) -> None:
+    """Ordered lines to a file (packed where its name ends in ``.gz``), or to the screen where the name has no dot.
+
+    One file, like the screen, takes one partition at a time through the driver. With ``parts`` the
+    executors write a folder of files instead, whose names are in the order of the lines.
+    """
+    if parts and "." in path:
+        first = lines.sparkSession.createDataFrame([(line,) for line in head.splitlines()], "line string").coalesce(1)
+        ordered = lines.orderBy(*order).select("line")
+        out = (first.unionByName(ordered) if head else ordered).write.mode("overwrite")
+        out.text(path, compression="gzip" if path.endswith(".gz") else "none")
+        return
     rows = lines.orderBy(*order).select("line").toLocalIterator()
     if "." not in path:
         print(head, end="")
         for r in rows:
             print(r["line"])
         return
-    with open(path, "w") as out:
+    with gzip.open(path, "wt") if path.endswith(".gz") else open(path, "w") as out:
         out.write(head)
         out.writelines(r["line"] + "\n" for r in rows)
 
 
-def put_graph(lines: DataFrame, path: str) -> None:
-    put(lines, ["part", "line"], path)
+def graph_version(path: str) -> int:
+    return 2 if extension(path).startswith("gfa2") else 1
+
+
+def report_assembly(segments: DataFrame, edges: DataFrame) -> None:
+    """The assembly summary of a graph without paths: scaffolds, contigs and gaps are none."""
+    s = unitigs.graph_summary(segments, edges).first()
+    alone = unitigs.isolated(segments, edges).first()
+    for kind, title, plural, average in (("scaffold", "Scaffold", "scaffolds", "nan"), ("contig", "Contig", "contigs", "nan"), ("gap", "Gap", "gaps in scaffolds", "0.00")):
+        tail = " in scaffolds" if kind == "gap" else ""
+        rows = [f"# {plural}", f"Total {kind} length{tail}", f"Average {kind} length{tail}", f"{title} N50{tail}", f"{title} auN{tail}", f"{title} L50{tail}", f"Largest {kind}{tail}", f"Smallest {kind}{tail}"]
+        values = ["0", "0", average, "0", "0.00", "0", "0", "0"]
+        if kind == "scaffold":
+            print("+++Assembly summary+++: ")
+        print("\n".join(f"{r}: {v}" for r, v in zip(rows, values, strict=True)))
+    print("Base composition (A:C:G:T): 0:0:0:0\nGC content %: nan\n# soft-masked bases: 0")
+    mean, degree = (f"{x:.2f}" if x is not None else "nan" for x in (s.average_length, s.average_degree))
+    print(f"# segments: {s.segments}\nTotal segment length: {s.total_length}\nAverage segment length: {mean}\n# gaps: 0\n# paths: 0\n# edges: {s.edges}\nAverage degree: {degree}")
+    print(f"# connected components: {s.components - alone.segments}\nLargest connected component length: {s.largest_component}\n# dead ends: {s.dead_ends}")
+    print(f"# disconnected components: {alone.segments}\nTotal length disconnected components: {alone.total_length}\n# separated components: {s.components}")
+    print(f"# bubbles: {s.bubbles}\n# circular segments: {s.circular}\n# circular paths: 0")
 
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -97,7 +128,7 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> None:
         dbg = materialise(graph.build(sequences.read_sequences(spark, a.input_reads), k), "dbg")
     kind, shown = extension(a.out), not a.out or "." in a.out
     if kind == "hist":
-        put(graph.histogram(dbg).select("cov", F.concat_ws("\t", F.col("cov").cast("string"), F.col("n_kmers").cast("string")).alias("line")), ["cov"], a.out)
+        put(graph.histogram(dbg).select("cov", F.concat_ws("\t", F.col("cov").cast("string"), F.col("n_kmers").cast("string")).alias("line")), ["cov"], a.out, parts=a.parts)
     if kind == "helix":
         database.save(dbg, a.out, k)
     if shown:
@@ -108,11 +139,11 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> None:
     if kind == "vcf" or kind in GRAPH_KINDS:
         found = materialise(variants.variants(asm, dbg, k, span=a.max_span, depth=a.search_depth, cutoff=a.coverage_cutoff), "variants")
         if kind == "vcf":
-            put(variants.vcf_lines(variants.vcf_rows(found, asm)), ["part", "chrom", "pos"], a.out)
+            put(variants.vcf_lines(variants.vcf_rows(found, asm)), ["part", "chrom", "pos"], a.out, parts=a.parts)
         else:
             nodes, edges = variants.variant_graph(found, asm)
-            nodes = nodes.select(F.lit(1).alias("part"), F.concat_ws("\t", F.lit("S"), "name", F.when(F.col("sequence") == "", "*").otherwise(F.col("sequence"))).alias("line"))
-            put_graph(nodes.unionByName(edges.select(F.lit(2).alias("part"), F.concat_ws("\t", F.lit("L"), "source", "source_strand", "target", "target_strand", "overlap").alias("line"))), a.out)
+            lines = unitigs.graph_lines(nodes.withColumn("tags", F.lit("")), edges.withColumn("overlap", F.lit(0)).withColumn("tags", F.lit("")), graph_version(a.out))
+            put(lines, ["part", "line"], a.out, parts=a.parts)
         return
     bed = sequences.read_bed(spark, a.input_positions) if a.input_positions else None
     rows = materialise(evaluate.track(asm, dbg, k, whole=True, intervals=bed), "track")
@@ -122,9 +153,9 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> None:
             print(f"{r.missing}\t{r.total}\t{r.qv:.6g}\t{r.error:.6g}\t{k}\t{r.method}")
     place = ["path", "abs_pos"]
     if kind in TABLE_KINDS:
-        put(tracks.table_lines(rows, kind, k), place, a.out)
+        put(tracks.table_lines(rows, kind, k), place, a.out, parts=a.parts)
     elif kind == "kwig":
-        put(tracks.step_lines(rows), ["path", "segment_id", "part", "abs_pos"], a.out, f"{k}\n")
+        put(tracks.step_lines(rows), ["path", "segment_id", "part", "abs_pos"], a.out, f"{k}\n", a.parts)
     elif kind == "bkwig":
         binary_track.write_binary_track(rows, a.out, k)
 
@@ -143,14 +174,18 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> None:
     bed = sequences.read_bed(spark, a.input_positions) if a.input_positions else None
     found = subgraph.extract(asm, dbg, k, algorithm=a.traversal_algorithm, depth=a.search_depth, cutoff=a.coverage_cutoff, reference=not a.no_reference, intervals=bed)
     nodes = materialise(found, "subgraph")
-    for name, value in subgraph.summary(nodes, k).first().asDict().items():
-        print(f"{name}: {value}")
+    own = subgraph.summary(nodes, k).first()
+    print("Subgraph summary statistics:")
+    print(f"Total kmers: {own.total}\nUnique kmers: {own.unique}\nDistinct kmers: {own.distinct}\nMissing kmers: {own.missing}\nTotal edges: {own.edges}")
     segments, edges = unitigs.node_graph(nodes) if a.no_collapse else unitigs.unitigs(nodes)
-    for name, value in unitigs.graph_summary(segments, edges).first().asDict().items():
-        print(f"{name}: {value}")
+    segments, edges = materialise(segments, "segments"), materialise(edges, "edges")
+    report_assembly(segments, edges)
+    print("DBG Summary statistics:")
     report(dbg, k)
     if extension(a.out) in GRAPH_KINDS:
-        put_graph(unitigs.gfa_lines(segments, edges, k), a.out)
+        rows = segments.select("name", "sequence", F.concat_ws("\t", F.concat(F.lit("DP:f:"), F.col("depth").cast("string")), F.concat(F.lit("CB:Z:"), "colour")).alias("tags"))
+        links = edges.select("source", "source_strand", "target", "target_strand", F.lit(k - 1).alias("overlap"), F.concat(F.lit("KC:i:"), F.col("count").cast("string")).alias("tags"))
+        put(unitigs.graph_lines(rows, links, graph_version(a.out)), ["part", "line"], a.out, parts=a.parts)
 
 
 def inflate(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -49,10 +49,15 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_gfa(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(S: name, sequence) and (P: path, comp_idx, name, orientation, comment) of a GFA 1 file."""
-    rows = spark.read.text(_paths(path)).select(F.split("value", "\t").alias("f"))
-    nodes = rows.where(F.get("f", F.lit(0)) == "S").select(F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(2)).alias("sequence"))
-    steps = rows.where(F.get("f", F.lit(0)) == "P").select(F.get("f", F.lit(1)).alias("path"), F.posexplode(F.split(F.get("f", F.lit(2)), "[,;]")).alias("comp_idx", "step"))
+    """(S: name, sequence) and (path, comp_idx, name, orientation) of a GFA 1 or GFA 2 file.
+
+    GFA 2 segments state their length before the sequence, and its paths are O lines of blank-separated steps.
+    """
+    rows = spark.read.text(_paths(path)).select(F.split(F.regexp_replace("value", "\r$", ""), "\t").alias("f"))
+    kind, one, two, three = (F.get("f", F.lit(i)) for i in range(4))
+    sized = two.rlike("^[0-9]+$") & three.isNotNull() & ~F.coalesce(three, F.lit("")).rlike("^[A-Za-z][A-Za-z0-9]:[A-Za-z]:")
+    nodes = rows.where(kind == "S").select(one.alias("name"), F.when(sized, three).otherwise(two).alias("sequence"))
+    steps = rows.where(kind.isin("P", "O")).select(one.alias("path"), F.posexplode(F.split(two, F.when(kind == "P", "[,;]").otherwise(" +"))).alias("comp_idx", "step"))
     return nodes, steps.select("path", "comp_idx", F.regexp_replace("step", "[+-]$", "").alias("name"), F.right("step", F.lit(1)).alias("orientation"))
 
 

@@ -133,3 +133,23 @@ def test_length_summary(spark):
     r = assembly.length_summary(d).first()
     assert (r.n, r.total, r.n50, r.l50, r.largest, r.smallest) == (4, 100, 30, 2, 40, 10) and abs(r.aun - 30) < 1e-9
     assert assembly.length_summary(d.limit(0)).first().n50 == 0
+
+
+def test_counts_of_the_assembly_alone(spark, monkeypatch):
+    """Few k-mers filter the windows, many the counts; both give the graph's own rows."""
+    reads, asm = frame(spark, READS), frame(spark, [SEQ[20:50], "ACGTACGTACG"])
+    whole = as_dict(graph.build(reads, K))
+    keys = {r.key for r in graph.assembly_keys(asm, K).collect()}
+    for few in (1 << 19, 3):
+        monkeypatch.setattr(graph, "FEW", few)
+        assert as_dict(graph.build(reads, K, only=graph.assembly_keys(asm, K))) == {k: v for k, v in whole.items() if k in keys}
+
+
+def test_windows_at_the_ends_of_pieces(spark, monkeypatch):
+    monkeypatch.setattr(windows, "CHUNK", 10)
+    monkeypatch.setattr(windows, "PIECE", 4)
+    rows = {r.pos: r for r in windows.windows(windows.segments(frame(spark, [SEQ])), K, whole=True).collect()}
+    assert len(rows) == len(SEQ)
+    for p in range(len(SEQ)):
+        w = SEQ[p : p + K] if p + K <= len(SEQ) else None
+        assert rows[p].kmer == w and rows[p].key == (w and min(w, rc(w))) and rows[p].left == (SEQ[p - 1] if p else None) and rows[p].right == (SEQ[p + K] if p + K < len(SEQ) else None)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.functions import bases
 from helixframe.operators import graph, subgraph, unitigs, variants
@@ -117,3 +118,37 @@ def test_catalogue_extracts_at_the_full_depth(spark, tmp_path):
     r = catalog.unitig_summary(spark, d).first()
     assert (r.segments, r.edges, r.components, r.dead_ends) == (4, 4, 1, 2)
     assert catalog.graph_export(spark, d).count() == 9
+
+
+def test_shortest_walks_of_a_source(spark):
+    """Three alternates of one base; ``most`` keeps the first ones."""
+    others = [SEQ[:45] + b + SEQ[46:] for b in "ACGT" if b != SEQ[45]]
+    dbg = graph.build(frame(spark, [SEQ, *others]), K).cache()
+    asm = frame(spark, [SEQ])
+    assert sorted(r.alt for r in variants.variants(asm, dbg, K).collect()) == sorted(b for b in "ACGT" if b != SEQ[45])
+    assert [r.alt for r in variants.variants(asm, dbg, K, most=1).collect()] == [min(b for b in "ACGT" if b != SEQ[45])]
+
+
+def test_long_paths_are_put_together(spark, monkeypatch):
+    monkeypatch.setattr(unitigs, "RUN", 7)
+    nodes = subgraph.prune_edges(subgraph.seeds(frame(spark, [SEQ]), graph.build(frame(spark, [SEQ]), K), K))
+    (row,) = unitigs.unitigs(nodes)[0].collect()
+    assert row.sequence in (SEQ, rc(SEQ)) and row.n_kmers == 90 - K + 1 and row.depth == 1.0
+
+
+def test_second_version_graph_lines(bubble):
+    dbg, asm = bubble
+    segments, edges = unitigs.unitigs(subgraph.extract(asm, dbg, K))
+    rows = segments.withColumn("tags", F.lit("")), edges.withColumn("overlap", F.lit(K - 1)).withColumn("tags", F.lit("KC:i:1"))
+    lines = [r.line.split("\t") for r in unitigs.graph_lines(*rows, 2).collect()]
+    size = {f[1]: int(f[2]) for f in lines if f[0] == "S"}
+    text = {f[1]: f[3] for f in lines if f[0] == "S"}
+    assert len(size) == 4 and all(len(text[n]) == s for n, s in size.items()) and ["H", "VN:Z:2.0"] in lines
+    for f in (f for f in lines if f[0] == "E"):
+        pieces = []
+        for ref, begin, end in ((f[2], f[4], f[5]), (f[3], f[6], f[7])):
+            name, strand = ref[:-1], ref[-1]
+            assert end.endswith("$") == (int(end.rstrip("$")) == size[name])
+            piece = text[name][int(begin) : int(end.rstrip("$"))]
+            pieces.append(piece if strand == "+" else rc(piece))
+        assert pieces[0] == pieces[1] and len(pieces[0]) == K - 1

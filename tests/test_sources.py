@@ -85,3 +85,44 @@ def test_streaming_equals_batch(spark, tmp_path):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_second_version_of_graph_files(spark, tmp_path):
+    (tmp_path / "a.gfa").write_text("H\tVN:Z:2.0\nS\tx\t4\tAACG\nS\ty\t3\tGGT\nE\t*\tx+\ty-\t4$\t4$\t3$\t3$\t0M\nO\tp\tx+ y-\n")
+    rows = sequences.read_assembly(spark, str(tmp_path / "a.gfa")).orderBy("segment_id").collect()
+    assert [(r.path, r.abs_start, r.seq) for r in rows] == [("p", 0, "AACG"), ("p", 4, "ACC")]
+
+
+def test_packed_and_distributed_outputs(spark, tmp_path, capsys):
+    (tmp_path / "a.fa").write_text(f">s\n{SEQ}\n")
+    fa, db = str(tmp_path / "a.fa"), str(tmp_path / "d.helix")
+    assert cli.main(["validate", "-r", fa, "-k", "9", "-o", db], spark) == 0
+    assert cli.main(["validate", "-f", fa, "-d", db, "-o", str(tmp_path / "t.bed")], spark) == 0
+    assert cli.main(["validate", "-f", fa, "-d", db, "-o", str(tmp_path / "parts.bed"), "--parts"], spark) == 0
+    whole = (tmp_path / "t.bed").read_text()
+    assert whole == "".join(p.read_text() for p in sorted((tmp_path / "parts.bed").glob("part-*"))) and whole.count("\n") == len(SEQ)
+    capsys.readouterr()
+    for name in ("g.gfa2.gz", "g.gfa2"):
+        assert cli.main(["subgraph", "-d", db, "-f", fa, "-o", str(tmp_path / name)], spark) == 0
+    packed = gzip.open(tmp_path / "g.gfa2.gz", "rt").read()
+    assert packed == (tmp_path / "g.gfa2").read_text() and packed.startswith("H\tVN:Z:2.0\nS\t")
+    summary = capsys.readouterr().out.split("DBG Summary statistics:")[0].splitlines()
+    assert len(summary) == 6 + 44 and "# segments: 1" in summary and "# dead ends: 2" in summary
+
+
+def test_windows_over_chunks(spark, monkeypatch):
+    """Chunked frames and binned joins give what one frame and one join would."""
+    from helixframe.operators import tracks
+
+    d = graph.build(frame(spark, [SEQ, SEQ[20:60]]), K)
+    rows = evaluate.track(frame(spark, [SEQ, SEQ[5:100]]), d, K, whole=True).cache()
+    wanted = spark.createDataFrame([("s0", 3, 70), ("s1", 10, 12), ("s0", 100, 1 << 50)], "header string, begin long, end long")
+
+    def results():
+        frames = tracks.covering(rows, K), evaluate.support_ahead(rows, K).select("path", "pos", "score"), tracks.lookup(rows, wanted), evaluate.in_intervals(rows, wanted)
+        return [sorted(map(repr, f.collect())) for f in frames]
+
+    plain = results()
+    for module, name in ((tracks, "CHUNK"), (evaluate, "BIN")):
+        monkeypatch.setattr(module, name, 16)
+    assert results() == plain and all(plain)
