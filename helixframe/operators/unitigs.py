@@ -31,14 +31,20 @@ def node_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _links(nodes: DataFrame) -> DataFrame:
-    """(a, b, count): steps between oriented k-mers, on both strands."""
+    """(a, b, count): steps between oriented k-mers, on both strands.
+
+    A node that only the assembly has knows its edges, while its neighbours in the reads don't know theirs to it: a step
+    that either of its ends knows is one on both strands, with the larger count.
+    """
     rows = both_strands(nodes)
     steps = []
     for i, b in enumerate(BASES):
         count = F.when(F.col("oriented") == F.col("key"), F.col(f"fw{i}")).otherwise(F.col(f"bw{3 - i}"))
         steps.append(F.when(count > 0, F.struct(F.lit(b).alias("base"), count.alias("count"))))
     out = rows.select(F.col("oriented").alias("a"), F.explode(F.array_compact(F.array(*steps))).alias("s"))
-    return out.select("a", successor(F.col("a"), F.col("s.base")).alias("b"), F.col("s.count").alias("count"))
+    known = out.select("a", successor(F.col("a"), F.col("s.base")).alias("b"), F.col("s.count").alias("count"))
+    ways = F.array(F.struct("a", "b"), F.struct(reverse_complement(F.col("b")).alias("a"), reverse_complement(F.col("a")).alias("b")))
+    return known.select(F.explode(ways).alias("w"), "count").groupBy("w").agg(F.max("count").alias("count")).select("w.a", "w.b", "count")
 
 
 def _heads(all_: DataFrame, inner: DataFrame) -> DataFrame:

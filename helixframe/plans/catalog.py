@@ -374,7 +374,8 @@ _FOUND = f"""{_NEAR}, leaving AS (SELECT DISTINCT substr(o, 2) || s.base AS o FR
     {_pruned('nodes')}"""
 _FLIP = "CASE WHEN {} = '+' THEN '-' ELSE '+' END"
 _UNITIGS = f"""{_FOUND}, strands AS MATERIALIZED (SELECT *, unnest([key, {_rc('key')}]) AS o FROM pruned),
-    links AS MATERIALIZED (SELECT o AS a, substr(o, 2) || s.base AS b, s.n AS count FROM (SELECT o, {_onward()} AS s FROM strands)),
+    known AS (SELECT o AS a, substr(o, 2) || s.base AS b, s.n AS count FROM (SELECT o, {_onward()} AS s FROM strands)),
+    links AS MATERIALIZED (SELECT a, b, max(count) AS count FROM (SELECT * FROM known UNION ALL SELECT {_rc('b')}, {_rc('a')}, count FROM known) GROUP BY a, b),
     inward AS MATERIALIZED (SELECT x.a, x.b FROM (SELECT a, any_value(b) AS b FROM links GROUP BY a HAVING count(*) = 1) x JOIN (SELECT b FROM links GROUP BY b HAVING count(*) = 1) y ON x.b = y.b WHERE x.b <> {_rc('x.a')}),
     path AS (SELECT o AS head, o AS node, 0 AS nth FROM strands ANTI JOIN inward ON inward.b = strands.o UNION ALL SELECT head, b, nth + 1 FROM path JOIN inward ON inward.a = path.node),
     joined AS (SELECT head, arg_max(node, nth) AS tail, count(*) AS n_kmers, avg(cov) AS depth, max(colour) AS colour, head || coalesce(string_agg(right(node, 1), '' ORDER BY nth) FILTER (nth > 0), '') AS sequence
