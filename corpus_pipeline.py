@@ -1,4 +1,8 @@
-"""A training-corpus pipeline: each stage is an operator on all documents that the stage before kept."""
+"""A training-corpus pipeline: each stage is an operator on all documents that the stage before kept.
+
+Every stage takes any table with the columns of ``documents``, further ones of any names included, and gives whole rows; the last
+gives pieces. In all of them null texts are empty, null sources are one source, and empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +15,42 @@ from helixframe.llm.store import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects short, repetitive and depleted documents; the others lose their boilerplate lines."""
+    """Rejects short, repetitive and depleted documents; the others lose their boilerplate lines.
+
+    Empty texts are too short and go. Rows of equal identifier, text and source are judged alike, each its own row.
+    """
     return quality_lines.clean_documents(docs)
 
 
 def frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that ten documents or more share."""
+    """Removes lines that ten documents or more share.
+
+    Every row stays, even if no line is left. Rows of one identifier count as one document (null identifiers too).
+    """
     return line_dedup.drop_frequent_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of every group of near copies, grouped as the SimHash query does."""
+    """Keeps one document of every group of near copies, grouped as the SimHash query does.
+
+    The one of the smallest identifier stays, then of the smallest text hash; null identifiers come last, and repeated rows are one.
+    """
     return simhash.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or samples documents so that sources meet their token targets."""
+    """Repeats or samples documents so that sources meet their token targets.
+
+    A document stands up to two times. Null identifiers draw by their text; rows of equal key at the boundary go together.
+    """
     return mixing.mix(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token ids of the mix into sequences."""
+    """Packs the token ids of the mix into sequences.
+
+    Every row is packed on its own, repeated ones too; an empty text is a piece of one id.
+    """
     return packing.pack(docs)
 
 
