@@ -110,7 +110,11 @@ def test_catalogue_extracts_at_the_full_depth(spark, tmp_path):
     letter = {b: ch for ch, b in zip(bases.LETTERS, bases.LETTER_BASES, strict=True)}
     plain, other = ("".join(letter[b] for b in s) for s in (SEQ, snp(SEQ, 45)))
     spark.createDataFrame([(0, plain), (1, other)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(0, plain)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # the passage whose substituted bases are those of SEQ
+    before = "".join("TACG"["ACGT".index(b)] if i >= catalog.FIRST and (i - catalog.FIRST) % catalog.STEP == 0 else b for i, b in enumerate(SEQ))
+    passage = "".join(letter[b] for b in before)
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert catalog.changed_contigs(spark, str(tmp_path)).first().sequence == SEQ
     k, d = catalog.K, str(tmp_path)
     found = {r.colour: r["count"] for r in catalog.best_first(spark, d).groupBy("colour").count().collect()}
     assert found == {subgraph.SHARED: 90 - k + 1, subgraph.FOUND: k}
@@ -120,13 +124,14 @@ def test_catalogue_extracts_at_the_full_depth(spark, tmp_path):
     assert catalog.graph_export(spark, d).count() == 9
 
 
-def test_shortest_walks_of_a_source(spark):
-    """Three alternates of one base; ``most`` keeps the first ones."""
+def test_walks_of_a_source(spark):
+    """Three alternates of one base meet the assembly at one window, which a source visits once; ``most`` bounds the walks of a source."""
     others = [SEQ[:45] + b + SEQ[46:] for b in "ACGT" if b != SEQ[45]]
     dbg = graph.build(frame(spark, [SEQ, *others]), K).cache()
     asm = frame(spark, [SEQ])
-    assert sorted(r.alt for r in variants.variants(asm, dbg, K).collect()) == sorted(b for b in "ACGT" if b != SEQ[45])
-    assert [r.alt for r in variants.variants(asm, dbg, K, most=1).collect()] == [min(b for b in "ACGT" if b != SEQ[45])]
+    for most in (None, 1):
+        assert [r.alt for r in variants.variants(asm, dbg, K, most=most).collect()] == [min(b for b in "ACGT" if b != SEQ[45])]
+    assert variants.variants(asm, dbg, K, most=0).count() == 0
 
 
 def test_long_paths_are_put_together(spark, monkeypatch):
