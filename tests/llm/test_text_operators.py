@@ -451,3 +451,19 @@ def test_long_texts_are_whole(spark):
     assert one["line_report"].n_lines == 20_001 and one["line_report"].kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
     pieces = sorted((r.start, r.length, r.doc_tokens) for r in packing.pack(d).where("doc_id = 1").collect())
     assert all(a + n == b for (a, n, _), (b, *_) in zip(pieces, pieces[1:], strict=False)) and pieces[-1][0] + pieces[-1][1] == pieces[-1][2]
+
+
+def test_mixing_with_weights_far_from_one(spark):
+    """The sample by any weights against sorting all keys; null and negative weights count as the least."""
+    rng = np.random.default_rng(7)
+    own = [(i, "w " * int(rng.integers(1, 9)), "s", None if i % 50 == 0 else -1.0 if i % 51 == 0 else float(10.0 ** rng.integers(-5, 6))) for i in range(600)]
+    d = spark.createDataFrame(own, "doc_id long, text string, source string, key double")
+    size = {i: t.count("w") for i, t, *_ in own}
+    w = {i: max(x if x is not None else 0.0, 1e-6) for i, _, _, x in own}
+    u = {i: (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in size}
+    budget, run, want = 0.4 * sum(size.values()), 0, set()
+    for i in sorted(size, key=lambda i: (-np.log(u[i]) / w[i], str(i), size[i])):
+        want |= {i} if run + size[i] / 2 <= budget else set()
+        run += size[i]
+    got = mixing.mix(d, weight=F.col("key"), share=0.4, weights=(1.0,), epochs=1)
+    assert {r.doc_id for r in got.collect()} == want and got.columns == d.columns and 50 < len(want) < 500
