@@ -16,7 +16,7 @@ from helixframe.functions import bases
 from helixframe.operators import assembly, evaluate, graph, subgraph, tracks, unitigs, variants
 from helixframe.operators import windows as cut
 from helixframe.scratch import materialise, new_path
-from helixframe.sources import database, sequences
+from helixframe.sources import binary_track, database, sequences
 from helixframe.streaming.ingest import ingest
 
 K = 21
@@ -179,6 +179,92 @@ def fasta_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return sequences.read_fasta(s, path).select("header", "comment", "sequence")
 
 
+def fastq_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "fastq")
+    record = F.concat(F.lit("@"), "header", F.lit(" item\n"), "sequence", F.lit("\n+\n"), F.expr("repeat('!', length(sequence))"))
+    contigs(s, d).select(record.alias("value")).write.text(path)
+    return sequences.read_fastq(s, path).select("header", "comment", "sequence", "quality")
+
+
+def _graph_file(s: SparkSession, d: str, version: int) -> DataFrame:
+    """Every passage as a segment, and a path over it in both directions, written and read as an assembly."""
+    path = new_path(s, "gfa")
+    size = [F.length("sequence").cast("string")] if version == 2 else []
+    steps = F.concat("header", F.lit("+ " if version == 2 else "+,"), "header", F.lit("-"))
+    rows = F.array(F.concat_ws("\t", F.lit("S"), "header", *size, "sequence"), F.concat_ws("\t", F.lit("O" if version == 2 else "P"), F.concat(F.lit("p"), "header"), steps))
+    contigs(s, d).select(F.explode(rows).alias("value")).write.text(path)
+    return sequences.read_assembly(s, path).select("path", "segment_id", "abs_start", "seq", "length")
+
+
+def gfa_assembly(s: SparkSession, d: str) -> DataFrame:
+    return _graph_file(s, d, 1)
+
+
+def gfa2_assembly(s: SparkSession, d: str) -> DataFrame:
+    return _graph_file(s, d, 2)
+
+
+def bed_positions(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "bed")
+    _intervals(s, d).select(F.concat_ws("\t", "header", F.col("begin").cast("string"), F.col("end").cast("string")).alias("value")).write.text(path)
+    return tracks.expand_intervals(sequences.read_bed(s, path))
+
+
+def coordinate_lookup(s: SparkSession, d: str) -> DataFrame:
+    found = tracks.lookup(_track(s, d, whole=True), sequences.parse_coordinate(s, "22:2-40"))
+    return found.select("path", "begin", "end", "abs_pos", "cov", "right", "left")
+
+
+def _binary_track(s: SparkSession, d: str) -> DataFrame:
+    """The track as one binary file, which the driver writes to a folder it can open, read back.
+
+    The file numbers the segments that it holds: those without a window are not in it.
+    """
+    path = new_path(s, "binary-track")
+    binary_track.write_binary_track(materialise(_track(s, d, whole=True), "track"), path.removeprefix("file://"), K)
+    return binary_track.read_binary_track(s, path)
+
+
+def binary_track_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    return _binary_track(s, d)
+
+
+def inflate_track(s: SparkSession, d: str) -> DataFrame:
+    return tracks.step_lines(_binary_track(s, d)).select("path", "abs_pos", "part", "line")
+
+
+def csv_track(s: SparkSession, d: str) -> DataFrame:
+    return tracks.table_lines(_track(s, d, whole=True), "csv", K).select("path", "abs_pos", "line")
+
+
+def csv_table_track(s: SparkSession, d: str) -> DataFrame:
+    return tracks.table_lines(_track(s, d, whole=True), "csvtable", K).select("path", "abs_pos", "line")
+
+
+def base_codes(s: SparkSession, d: str) -> DataFrame:
+    own = contigs(s, d).select("header", F.lower(F.left("sequence", F.lit(1))).alias("base"))
+    return own.select("header", "base", bases.encode_base(F.col("base")).alias("code"), bases.decode_base(bases.encode_base(F.col("base"))).alias("decoded"))
+
+
+def kmer_lookup(s: SparkSession, d: str) -> DataFrame:
+    """The node of the first key, asked for by its other strand in lower case."""
+    dbg = materialise(_dbg(s, d), "dbg")
+    kmer = dbg.select(F.lower(bases.reverse_complement(F.min("key"))).alias("kmer")).first()["kmer"]
+    return evaluate.lookup_kmer(dbg, kmer)
+
+
+def colour_names(s: SparkSession, d: str) -> DataFrame:
+    return subgraph_seeds(s, d).groupBy(bases.colour_name(F.col("colour")).alias("colour")).agg(F.count("*").alias("n_kmers"))
+
+
+def prune_above_cutoff(s: SparkSession, d: str) -> DataFrame:
+    return subgraph.prune_edges(materialise(subgraph_seeds(s, d), "seeds"), cutoff=2)
+
+
+def vcf_file(s: SparkSession, d: str) -> DataFrame:
+    return variants.vcf_lines(variant_calls(s, d)).select("part", "line")
+
+
 def subgraph_seeds(s: SparkSession, d: str) -> DataFrame:
     return subgraph.seeds(contigs(s, d), _known(s, d), K)
 
@@ -240,7 +326,8 @@ def variant_graph(s: SparkSession, d: str) -> DataFrame:
 _NAMES = (
     "kmer_count kmer_histogram db_stats node_degrees saturating_union database_roundtrip streaming_ingest validate_qv validate_by_segment coverage_cutoff edge_missing base_track anomalies "
     "support_ahead kmer_track_window step_track range_lookup bed_window_filter interval_projection path_offsets n_split_segments assembly_lengths base_composition fasta_roundtrip subgraph_seeds "
-    "subgraph_summary prune_edges export_edges traversal_depth_2 best_first unitig_segments unitig_edges unitig_summary graph_export variant_calls variant_graph"
+    "subgraph_summary prune_edges export_edges traversal_depth_2 best_first unitig_segments unitig_edges unitig_summary graph_export variant_calls variant_graph "
+    "fastq_roundtrip gfa_assembly gfa2_assembly bed_positions coordinate_lookup binary_track_roundtrip inflate_track csv_track csv_table_track base_codes kmer_lookup colour_names prune_above_cutoff vcf_file"
 ).split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}
 
@@ -309,7 +396,15 @@ def _qv(cutoff: int) -> str:
     SELECT missing, total, round(CASE WHEN err <= 0 THEN 'inf'::DOUBLE ELSE -10 * log10(err) + 0.0 END, 6) AS qv, round(err, 6) AS error, {K} AS k, method FROM x"""
 
 
-_LINE = ", ".join(f"repeat('0:', {K} - len({c}_w)) || array_to_string({c}_w, ':') AS {c}_s" for c in ("cov", "right", "left"))
+
+
+def _table_lines(column: str, entry: str) -> str:
+    """Lines of the windowed track with the given separators."""
+    own = ", ".join(f"repeat('0{entry}', {K} - len({c}_w)) || array_to_string({c}_w, '{entry}') AS {c}_s" for c in ("cov", "right", "left"))
+    return f"""WITH {_trk(True)}, w AS (SELECT path, abs_pos, list(cov) {_FRAME} AS cov_w, list("right") {_FRAME} AS right_w, list("left") {_FRAME} AS left_w FROM t),
+      x AS (SELECT path, abs_pos, {own} FROM w) SELECT path, abs_pos, concat_ws({column}, path, abs_pos, cov_s, right_s, left_s) AS line FROM x"""
+
+
 _FRAME = f"OVER (PARTITION BY path, segment_id ORDER BY pos ROWS BETWEEN {K - 1} PRECEDING AND CURRENT ROW)"
 _IV = "iv AS (SELECT item_id::VARCHAR AS header, 3 + item_id % 7 AS \"begin\", 30 + item_id % 11 AS \"end\" FROM benchmark)"
 _SUMMARY = """SELECT '{kind}' AS kind, count(*) AS n, coalesce(sum(length), 0)::BIGINT AS total, round(sum(length)::DOUBLE / count(*), 6) AS average,
@@ -335,18 +430,18 @@ _SEEDS = _seeds(f"{_counts()}, {_RUNS}")
 _NEAR = _seeds(f"{_counts(encoding=_LETTERS)}, {_CHANGED_RUNS}")
 
 
-def _nexts(source: str) -> str:
-    """(key, edge, weight, next, next_key) of every edge of ``source``."""
+def _nexts(source: str, cutoff: int = 0) -> str:
+    """(key, edge, weight, next, next_key) of every edge of ``source`` above the cutoff."""
     parts = []
     for i, x in enumerate("ACGT"):
         for c, n in ((f"fw{i}", f"substr(key, 2) || '{x}'"), (f"bw{i}", f"'{x}' || substr(key, 1, {K - 1})")):
-            parts.append(f"SELECT key, '{c}' AS edge, {c} AS weight, {n} AS nx, least({n}, reverse({_c(n)})) AS next_key FROM {source} WHERE {c} > 0")
+            parts.append(f"SELECT key, '{c}' AS edge, {c} AS weight, {n} AS nx, least({n}, reverse({_c(n)})) AS next_key FROM {source} WHERE {c} > {cutoff}")
     return " UNION ALL ".join(parts)
 
 
-def _pruned(nodes: str) -> str:
+def _pruned(nodes: str, cutoff: int = 0) -> str:
     """CTEs up to ``pruned``: ``nodes`` without edges to absent nodes."""
-    return f"""steps AS ({_nexts(nodes)}), there AS (SELECT * FROM steps WHERE next_key IN (SELECT key FROM {nodes})),
+    return f"""steps AS ({_nexts(nodes, cutoff)}), there AS (SELECT * FROM steps WHERE next_key IN (SELECT key FROM {nodes})),
     sums AS (SELECT key, {', '.join(f"max(weight) FILTER (edge = '{c}') AS {c}" for c in graph.EDGES)} FROM there GROUP BY key),
     pruned AS MATERIALIZED (SELECT s.key, s.cov, {', '.join(f"coalesce(u.{c}, 0) AS {c}" for c in graph.EDGES)}, s.colour FROM {nodes} s LEFT JOIN sums u ON s.key = u.key)"""
 
@@ -416,12 +511,16 @@ _WALKS = f"""{_counts(encoding=_LETTERS)}, {_CHANGED_RUNS},
     shaped AS (SELECT h.*, (h.t_pos - h.pos - {K} - 1)::INT AS t, length(h.bases) - 1 AS inner_, ref.o || h.bases AS whole, ref.seq FROM hits h JOIN ref ON ref.path = h.path AND ref.segment_id = h.segment_id AND ref.pos = h.pos),
     calls AS MATERIALIZED (SELECT path, segment_id, (pos + {K})::BIGINT AS pos, abs_start, seq, CASE WHEN t > 0 THEN 'COM' WHEN inner_ = {K} THEN 'SNV' WHEN inner_ > {K} THEN 'DEL' ELSE 'INS' END AS type, CASE WHEN t > 0 THEN t + 1 ELSE 1 END AS ref_len,
       CASE WHEN t > 0 THEN substr(whole, inner_ - t + 1, t + 1) WHEN inner_ = {K} THEN left(bases, 1) WHEN inner_ > {K} THEN left(bases, inner_ - {K}) ELSE '' END AS alt FROM shaped)"""
+_CALLS = """SELECT path AS chrom, abs_start + pos + CASE WHEN type IN ('INS', 'DEL') THEN 0 ELSE 1 END AS pos, CASE WHEN type IN ('INS', 'DEL') THEN substr(seq, pos, 2) ELSE substr(seq, pos + 1, ref_len) END AS ref,
+      CASE type WHEN 'INS' THEN substr(seq, pos, 1) WHEN 'DEL' THEN substr(seq, pos, 1) || alt || substr(seq, pos + 1, 1) ELSE alt END AS alt, type FROM calls"""
 _GRAPHED = f"""{_WALKS}, sites AS (SELECT DISTINCT path, segment_id, pos AS start, pos + CASE WHEN type = 'DEL' THEN 0 ELSE ref_len END AS stop, alt FROM calls),
     apart AS (SELECT *, max(stop) OVER (PARTITION BY path, segment_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT path, segment_id, start, stop FROM sites)),
     spans AS (SELECT *, row_number() OVER (PARTITION BY path, segment_id ORDER BY start, stop) - 1 AS site, path || '.' || segment_id AS name FROM apart WHERE before IS NULL OR start >= before),
     alts AS (SELECT spans.name, site, alt, row_number() OVER (PARTITION BY spans.path, spans.segment_id, site ORDER BY alt) AS a FROM spans JOIN sites USING (path, segment_id, start, stop)),
     middle AS (SELECT name, site, CASE WHEN stop > start THEN name || '.r.' || site END AS m FROM spans UNION ALL SELECT name, site, CASE WHEN alt <> '' THEN name || '.a.' || site || '.' || a END FROM alts),
     joins AS (SELECT name || '.p.' || site AS u, m, name || '.p.' || (site + 1) AS w FROM middle)"""
+_BOTH_WAYS = f"""WITH e AS (SELECT item_id::VARCHAR AS id, {_ENC} AS e FROM benchmark) SELECT 'p' || id AS path, 0::BIGINT AS segment_id, 0::BIGINT AS abs_start, e AS seq, length(e)::BIGINT AS length FROM e
+  UNION ALL SELECT 'p' || id, 1, length(e), {_rc('e')}, length(e) FROM e"""
 ORACLES: dict[str, str] = {
     "kmer_count": f"WITH {_counts()} SELECT * FROM dbg",
     "kmer_histogram": f"WITH {_counts()} SELECT cov, count(*) AS n_kmers FROM dbg GROUP BY cov",
@@ -439,8 +538,9 @@ ORACLES: dict[str, str] = {
     "base_track": f"""WITH {_trk(True)} SELECT path, segment_id, pos, abs_pos, cov, "right", "left" FROM t""",
     "anomalies": f"""WITH {_trk()} SELECT path, segment_id, abs_pos + {K} AS position FROM t WHERE cov = 0 OR (pos < kcount - 1 AND "right" = 0)""",
     "support_ahead": f"""WITH {_trk()} SELECT path, abs_pos, coalesce(sum(CASE WHEN cov > 0 THEN 1 ELSE -1 END) OVER (PARTITION BY path, segment_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND {K} FOLLOWING), 0)::BIGINT AS score FROM t""",
-    "kmer_track_window": f"""WITH {_trk(True)}, w AS (SELECT path, abs_pos, list(cov) {_FRAME} AS cov_w, list("right") {_FRAME} AS right_w, list("left") {_FRAME} AS left_w FROM t),
-      x AS (SELECT path, abs_pos, {_LINE} FROM w) SELECT path, abs_pos, concat_ws(chr(9), path, abs_pos, cov_s, right_s, left_s) AS line FROM x""",
+    "kmer_track_window": _table_lines("chr(9)", ":"),
+    "csv_track": _table_lines("','", " "),
+    "csv_table_track": _table_lines("','", ","),
     "step_track": f"""WITH {_trk(True)} SELECT path, abs_pos, 1 AS part, concat_ws(',', cov, "right", "left") AS line FROM t
       UNION ALL SELECT path, abs_pos, 0, 'fixedStep chrom=' || path || ' start=' || abs_pos || ' step=1' FROM t WHERE pos = 0""",
     "range_lookup": f"""WITH {_trk(True)}, {_IV}, bounds AS (SELECT path, segment_id, min(abs_pos) AS lo, max(abs_pos) + 1 AS hi FROM t GROUP BY ALL),
@@ -471,8 +571,21 @@ ORACLES: dict[str, str] = {
       (SELECT max(size) FROM parts)::BIGINT AS largest_component, (2 * segments - (SELECT count(*) FROM degree))::BIGINT AS dead_ends, (SELECT count(*) FROM forks WHERE a IN (SELECT z FROM across) OR b IN (SELECT z FROM across)) AS bubbles, circular FROM sizes, lines""",
     "graph_export": f"""WITH RECURSIVE {_UNITIGS} SELECT 0 AS part, 'H' || chr(9) || 'VN:Z:1.2' AS line UNION ALL SELECT 1, concat_ws(chr(9), 'S', name, sequence, 'DP:f:' || depth, 'CB:Z:' || colour) FROM segments
       UNION ALL SELECT 2, concat_ws(chr(9), 'L', source, source_strand, target, target_strand, '{K - 1}M', 'KC:i:' || count) FROM ends""",
-    "variant_calls": f"""WITH RECURSIVE {_WALKS} SELECT path AS chrom, abs_start + pos + CASE WHEN type IN ('INS', 'DEL') THEN 0 ELSE 1 END AS pos, CASE WHEN type IN ('INS', 'DEL') THEN substr(seq, pos, 2) ELSE substr(seq, pos + 1, ref_len) END AS ref,
-      CASE type WHEN 'INS' THEN substr(seq, pos, 1) WHEN 'DEL' THEN substr(seq, pos, 1) || alt || substr(seq, pos + 1, 1) ELSE alt END AS alt, type FROM calls""",
+    "variant_calls": f"WITH RECURSIVE {_WALKS} {_CALLS}",
     "variant_graph": f"""WITH RECURSIVE {_GRAPHED} SELECT DISTINCT source, '+' AS source_strand, target, '+' AS target_strand, '0M' AS overlap FROM (
       SELECT u AS source, w AS target FROM joins WHERE m IS NULL UNION ALL SELECT u, m FROM joins WHERE m IS NOT NULL UNION ALL SELECT m, w FROM joins WHERE m IS NOT NULL)""",
+    "fastq_roundtrip": f"SELECT item_id::VARCHAR AS header, 'item' AS comment, e AS sequence, repeat('!', length(e)) AS quality FROM (SELECT item_id, {_ENC} AS e FROM benchmark)",
+    "gfa_assembly": _BOTH_WAYS,
+    "gfa2_assembly": _BOTH_WAYS,
+    "bed_positions": f"""WITH {_IV} SELECT header, unnest(generate_series("begin", "end" - 1)) AS position FROM iv""",
+    "coordinate_lookup": f"""WITH {_trk(True)}, hi AS (SELECT segment_id, max(abs_pos) + 1 AS hi FROM t WHERE path = '22' GROUP BY segment_id HAVING min(abs_pos) <= 1 AND max(abs_pos) >= 1)
+      SELECT path, 2::BIGINT AS "begin", 40::BIGINT AS "end", abs_pos, cov, "right", "left" FROM t JOIN hi USING (segment_id) WHERE path = '22' AND abs_pos >= 1 AND abs_pos < least(39, hi)""",
+    "binary_track_roundtrip": f"""WITH {_trk(True)} SELECT path, dense_rank() OVER (PARTITION BY path ORDER BY segment_id) - 1 AS segment_id, pos, abs_pos, cov, "right", "left", {K}::BIGINT AS k FROM t""",
+    "base_codes": f"SELECT item_id::VARCHAR AS header, lower(left(e, 1)) AS base, CASE WHEN left(e, 1) <> 'N' THEN instr('ACGT', left(e, 1)) - 1 END::INT AS code, CASE WHEN left(e, 1) <> 'N' THEN left(e, 1) END AS decoded FROM (SELECT item_id, {_ENC} AS e FROM benchmark)",
+    "kmer_lookup": f"WITH {_counts()} SELECT * FROM dbg WHERE key = (SELECT min(key) FROM dbg)",
+    "colour_names": f"WITH {_SEEDS} SELECT CASE colour WHEN 0 THEN 'gray' WHEN 1 THEN 'blue' ELSE 'red' END AS colour, count(*) AS n_kmers FROM seeds GROUP BY 1",
+    "prune_above_cutoff": f"WITH {_SEEDS}, {_pruned('seeds', 2)} SELECT * FROM pruned",
+    "vcf_file": f"""WITH RECURSIVE {_WALKS}, c AS ({_CALLS}) SELECT {len(variants.VCF_HEAD) + 1} AS part, concat_ws(chr(9), chrom, pos, '.', ref, alt, '0', 'PASS', '.', 'GT:GQ', '1/1:0') AS line FROM c
+      UNION ALL SELECT * FROM (VALUES {", ".join(f"({i}, '{h}')" for i, h in enumerate(variants.VCF_HEAD))}, ({len(variants.VCF_HEAD)}, concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 'SAMPLE')))""",
 }
+ORACLES["inflate_track"] = ORACLES["step_track"]
