@@ -162,7 +162,7 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def union(spark: SparkSession, a: argparse.Namespace) -> None:
     dbgs, k = database.load_same_k(spark, a.input_db)
-    merged = materialise(graph.merge(dbgs), "union")
+    merged = materialise(graph.merge(dbgs, k), "union")
     if a.out:
         database.save(merged, a.out, k)
     report(merged, k)
