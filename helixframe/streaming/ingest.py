@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.bases import BASES
-from helixframe.operators import graph
+from helixframe.operators import packed
 from helixframe.operators.windows import fragments, oriented_edges, windows
 from helixframe.sources import database
 
@@ -19,18 +19,17 @@ def streaming_counts(reads: DataFrame, k: int = 21, sequence: str = "sequence")
 
 
 class BatchMerger:
-    """``foreachBatch`` sink: each batch becomes a delta graph named by its number, so a replayed batch
+    """``foreachBatch`` sink: each batch becomes a delta of counted blocks named by its number, so a replayed batch
     overwrites its own delta and is not counted twice; ``compact`` sums the deltas into a database."""
 
     def __init__(self, spark: SparkSession, folder: str, k: int = 21, sequence: str = "sequence") -> None:
         self.spark, self.folder, self.k, self.sequence = spark, folder.rstrip("/"), k, sequence
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        graph.build(batch, self.k, self.sequence).write.mode("overwrite").parquet(f"{self.folder}/delta/batch={number}")
+        packed.partial(batch, self.k, self.sequence).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/delta/batch={number}")
 
     def graph(self) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.folder}/delta").drop("batch")
-        return graph.merge([rows, rows.limit(0)])
+        return packed.total(self.spark.read.schema(packed.BLOCKS).parquet(f"{self.folder}/delta"), self.k)
 
     def compact(self, path: str) -> None:
         database.save(self.graph(), path, self.k)

@@ -41,3 +41,15 @@ def test_tables_are_packed_and_saturate(spark, k):
     rows = [("A" * k, LARGEST - 1, 5, 0, 300, 0, LARGEST, 0, 0, 1), ("C" * k, 2, *[0] * 8)]
     d = spark.createDataFrame(rows, packed.GRAPH)
     assert as_dict(graph.merge([d, d], k)) == {"A" * k: [LARGEST, 10, 0, 600, 0, LARGEST, 0, 0, 2], "C" * k: [4, *[0] * 8]}
+
+
+def test_streamed_deltas_are_blocks(spark, tmp_path):
+    from helixframe.streaming.ingest import BatchMerger
+
+    merger = BatchMerger(spark, str(tmp_path / "s"), 21)
+    merger(frame(spark, READS[:3]), 0)
+    merger(frame(spark, READS[3:]), 1)
+    merger(frame(spark, READS[3:]), 1)
+    assert "steps" in spark.read.parquet(str(tmp_path / "s" / "delta")).columns
+    assert exchanges(merger.graph()) == 1
+    assert as_dict(merger.graph()) == brute([r or "" for r in READS], 21)
