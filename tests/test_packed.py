@@ -53,3 +53,12 @@ def test_streamed_deltas_are_blocks(spark, tmp_path):
     assert "steps" in spark.read.parquet(str(tmp_path / "s" / "delta")).columns
     assert exchanges(merger.graph()) == 1
     assert as_dict(merger.graph()) == brute([r or "" for r in READS], 21)
+
+
+def test_pieces_are_counted_for_the_assembly_alone(spark, monkeypatch):
+    from helixframe.plans import catalog
+
+    asked, build = [], graph.build
+    monkeypatch.setattr(graph, "build", lambda *a, **b: asked.append(b.get("only")) or build(*a, **b))
+    catalog.edge_missing(spark, "/root/testdata/sf0.001")
+    assert asked[0] is not None
