@@ -5,7 +5,7 @@ import random
 import pytest
 
 from helixframe.functions.bases import LARGEST
-from helixframe.operators import graph, packed
+from helixframe.operators import graph, packed, subgraph
 from tests.test_graph import as_dict, brute, frame, rc
 
 RNG = random.Random(5)
@@ -55,6 +55,22 @@ def test_streamed_deltas_are_blocks(spark, tmp_path):
     assert as_dict(merger.graph()) == brute([r or "" for r in READS], 21)
 
 
+def snps(s, *at):
+    for i in at:
+        s = s[:i] + {"A": "C", "C": "G", "G": "T", "T": "A"}[s[i]] + s[i + 1 :]
+    return s
+
+
+def test_what_lies_within_two_steps(spark):
+    k = 21
+    reads = frame(spark, [SEQ, snps(SEQ, 60), rc(snps(SEQ, 150)), snps(SEQ[::-1], 5)])
+    asm, whole = frame(spark, [SEQ[:100]]), graph.build(reads, k).cache()
+    near = graph.build(reads, k, near=graph.around(graph.assembly_keys(asm, k), k, within=2)).cache()
+    assert near.count() < whole.count()
+    start = subgraph.seeds(asm, whole, k)
+    assert as_dict(subgraph.traversal(start, near, 2)) == as_dict(subgraph.traversal(start, whole, 2))
+
+
 def test_pieces_are_counted_for_the_assembly_alone(spark, monkeypatch):
     from helixframe.plans import catalog
 
