@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.bases import reverse_complement
 from helixframe.operators.evaluate import PLACE
 from helixframe.operators.graph import COUNTS
-from helixframe.operators.subgraph import default_depth, oriented_steps
+from helixframe.operators.subgraph import default_depth, looked_up, oriented_steps
 from helixframe.operators.windows import segments, windows
 from helixframe.scratch import materialise
 
@@ -31,7 +31,8 @@ def variants(assembly: DataFrame, dbg: DataFrame, k: int = 21, *, span: int = 5,
     graph = dbg.select("key", *COUNTS)
     after = rows.select(*PLACE[:2], (F.col("pos") - 1).alias("pos"), F.col("key").alias("ref_key"))
     start = rows.where(F.col("pos") + k + 1 < F.col("kcount")).join(after, list(SOURCE)).select(*SOURCE, "abs_start", "ref_key", "key", F.col("kmer").alias("oriented"))
-    steps = oriented_steps(start.join(graph, "key").withColumn("own", F.col("key")), cutoff)
+    start = materialise(start, "starts")
+    steps = oriented_steps(start.join(looked_up(graph, start.select("key").distinct(), "nodes"), "key").withColumn("own", F.col("key")), cutoff)
     steps = steps.withColumn("next_key", F.least("next", reverse_complement(F.col("next")))).where("next_key <> ref_key")
     visited = materialise(steps.select(*SOURCE, F.col("own").alias("next_key")).distinct(), "visited")
     frontier = steps.select(*SOURCE, "abs_start", "ref_key", F.col("next").alias("oriented"), "next_key", F.col("base").alias("bases"))
@@ -50,7 +51,8 @@ def variants(assembly: DataFrame, dbg: DataFrame, k: int = 21, *, span: int = 5,
         hit = materialise(hit, "hits")
         found = hit if found is None else found.unionByName(hit)
         onward = frontier.join(hit.select(*SOURCE, "next_key"), [*SOURCE, "next_key"], "left_anti")
-        onward = onward.select(*SOURCE, "abs_start", "ref_key", "bases", "oriented", F.col("next_key").alias("key")).join(graph, "key")
+        onward = onward.select(*SOURCE, "abs_start", "ref_key", "bases", "oriented", F.col("next_key").alias("key"))
+        onward = onward.join(looked_up(graph, onward.select("key").distinct(), "nodes"), "key")
         onward = oriented_steps(onward, cutoff).withColumn("next_key", F.least("next", reverse_complement(F.col("next")))).where("next_key <> ref_key")
         frontier = onward.select(*SOURCE, "abs_start", "ref_key", F.col("next").alias("oriented"), "next_key", F.concat("bases", "base").alias("bases"))
     if found is None:

@@ -61,6 +61,31 @@ def snps(s, *at):
     return s
 
 
+def walked(counts, starts, k, steps):
+    """Keys on walks of at most ``steps`` steps between k-mers of ``starts``, by brute force."""
+    def onward(w):
+        row = counts.get(min(w, rc(w)), [0] * 9)
+        return [w[1:] + b for i, b in enumerate("ACGT") if (row[1 + i] if w <= rc(w) else row[8 - i])]
+
+    hops, frontier = {w: 0 for w in starts}, list(starts)
+    for hop in range(1, steps + 1):
+        frontier = [n for n in {n for w in frontier for n in onward(w)} if n not in hops]
+        hops |= dict.fromkeys(frontier, hop)
+    return {min(w, rc(w)) for w, hop in hops.items() if hop + hops.get(rc(w), steps + 1) <= steps and min(w, rc(w)) in counts}
+
+
+def test_the_corridor_holds_every_walk_and_little_else(spark):
+    k = 21
+    far = ["".join(RNG.choice("ACGT") for _ in range(400)) for _ in range(5)]
+    own = [SEQ, snps(SEQ, 60), snps(SEQ, 150, 165), rc(snps(SEQ, 230)), SEQ[:120] + SEQ[124:], *far]
+    whole = brute(own, k)
+    starts = {w for i in range(len(SEQ) - k + 1) for w in (SEQ[i : i + k], rc(SEQ[i : i + k]))}
+    wanted = walked(whole, starts, k, k + 1)
+    near = as_dict(subgraph.corridor(frame(spark, [SEQ]), frame(spark, own), k))
+    assert len(wanted) > len(SEQ) and wanted <= near.keys()
+    assert all(whole[w] == near[w] for w in near) and len(near) < len(whole) - 1500
+
+
 def test_what_lies_within_two_steps(spark):
     k = 21
     reads = frame(spark, [SEQ, snps(SEQ, 60), rc(snps(SEQ, 150)), snps(SEQ[::-1], 5)])
